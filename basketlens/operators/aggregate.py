@@ -22,15 +22,15 @@ def base_aggregates(df: DataFrame, keys: dict[str, Column], needs: Iterable[str]
     """
     needs = set(needs)
     names = list(keys)
-    keyed = df.select(*[k.alias(n) for n, k in keys.items()], "*") if keys else df
+    by = [key.alias(name) for name, key in keys.items()]
     additive = [n for n in ADDITIVE if n in needs]
     parts = []
     if additive or not needs:
-        parts.append(keyed.groupBy(*names).agg(
+        parts.append(df.groupBy(*by).agg(
             *[ADDITIVE[n]().alias(f"b_{n}") for n in additive or ["sessions"]]))
     if needs & CUSTOMER_DISTINCT:
-        people = (keyed.filter(F.col("customer_id").isNotNull())
-                  .groupBy(*names, "customer_id")
+        people = (df.filter(F.col("customer_id").isNotNull())
+                  .groupBy(*by, "customer_id")
                   .agg(F.max(F.col("purchased") == 1).alias("_bought"),
                        F.max(F.col("purchased") == 0).alias("_browsed")))
         counts = {"customers": F.count(F.lit(1)), "buyers": F.count_if("_bought"),
@@ -38,7 +38,7 @@ def base_aggregates(df: DataFrame, keys: dict[str, Column], needs: Iterable[str]
         parts.append(people.groupBy(*names).agg(
             *[c.alias(f"b_{n}") for n, c in counts.items() if n in needs]))
     if needs & PRODUCT_DISTINCT:
-        items = keyed.filter(F.col("product_id").isNotNull()).select(*names, "product_id").distinct()
+        items = df.filter(F.col("product_id").isNotNull()).select(*by, "product_id").distinct()
         parts.append(items.groupBy(*names).agg(F.count(F.lit(1)).alias("b_products")))
     if len(parts) == 1:
         return parts[0]

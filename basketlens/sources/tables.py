@@ -94,7 +94,7 @@ def raw_sessions(spark: SparkSession, folder: str) -> DataFrame:
         "review_text": "CAST(review_code AS STRING)",
         "visit_weekday": "CAST(weekday AS STRING)", "visit_season": "CAST(season AS STRING)",
         "session_duration_bucket": "duration_bucket",
-        "revenue_normalized": "CAST(CAST(revenue_cents AS DECIMAL(18,0)) / 1000000 AS STRING)",
+        "revenue_normalized": "CAST(CAST(CAST(revenue_cents AS DECIMAL(18,0)) / 1000000 AS DECIMAL(18,4)) AS STRING)",
     }
     rows = sessions(spark, folder).selectExpr(
         *[f"{text.get(c, f'CAST({c} AS STRING)')} AS {c}" for c in SOURCE_COLUMNS],
