@@ -62,7 +62,7 @@ def segment_sums(segmented: DataFrame) -> DataFrame:
 
 
 def segments(sums: DataFrame) -> DataFrame:
-    """Segment table from ``segment_sums``; the window spans its four rows."""
+    """Segment table from ``segment_sums``, to be read by seg_ord; the window spans its four rows."""
     every = Window.partitionBy()
     c = F.col
     zero = lambda x: F.coalesce(x, F.lit(0.0))
@@ -76,8 +76,7 @@ def segments(sums: DataFrame) -> DataFrame:
         zero(percent(c("purchases"), c("sessions"))).alias("conversion"),
         zero(div0(revenue, c("purchases"))).alias("aov"),
         div0(c("sessions"), c("customers")).alias("sessions_per_customer"), "repeat",
-        percent(c("repeat"), c("customers")).alias("repeat_rate"),
-    ).orderBy("seg_ord")
+        percent(c("repeat"), c("customers")).alias("repeat_rate"))
 
 
 def pareto_curve(sums: DataFrame) -> DataFrame:
@@ -90,7 +89,7 @@ def pareto_curve(sums: DataFrame) -> DataFrame:
         return F.round(F.coalesce(cumulated, F.lit(0.0)), 2)
 
     return sums.select("segment", "seg_ord", share("customers").alias("cum_customers"),
-                       share("revenue_cents").alias("cum_revenue")).orderBy("seg_ord")
+                       share("revenue_cents").alias("cum_revenue"))
 
 
 def headline(sums: DataFrame) -> DataFrame:
@@ -122,7 +121,7 @@ def purchase_frequency(customers: DataFrame) -> DataFrame:
             .groupBy(F.least(F.col("purchases"), F.lit(4)).alias("n"))
             .agg(F.count(F.lit(1)).alias("customers"))
             .select("n", F.when(F.col("n") < 4, F.col("n").cast("string")).otherwise("4+").alias("label"),
-                    "customers").orderBy("n"))
+                    "customers"))
 
 
 def sessions_histogram(customers: DataFrame, bars: int = 12) -> DataFrame:

@@ -38,11 +38,11 @@ def trend(df: DataFrame, metrics: Iterable[str] = ("revenue", "sessions", "purch
         "_bucket", bucket_key(F.col("unit"), F.col("visit_date")))
     keys = {"granularity": F.col("unit"), "key": F.col("_bucket")}
     bases = base_aggregates(tagged, keys, needed_bases(metrics) | {"first_day"})
-    return finish_trend(bases, metrics)
+    return finish_trend(bases, metrics).orderBy("key")
 
 
 def finish_trend(bases: DataFrame, metrics: Iterable[str]) -> DataFrame:
     start = F.col("b_first_day")
     label = F.when(F.col("granularity") == "month", F.date_format(start, "MMM yy")).otherwise(
         F.date_format(start, "d MMM"))
-    return bases.select("granularity", "key", label.alias("label"), *closed(metrics)).orderBy("key")
+    return bases.select("granularity", "key", label.alias("label"), *closed(metrics))

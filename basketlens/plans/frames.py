@@ -1,7 +1,8 @@
 """Report rows: one long shape for tiles, charts, tables, funnels and findings.
 
 Every piece of a page becomes rows of (page, section_ord, kind, item, ord, series, key, label,
-value, display), so a page is a plain union that one job writes.
+value, display). A small aggregated frame is unfolded into all the rows it feeds by one
+``stack``; the pieces of a page are unioned and formatted once at the end.
 """
 
 from __future__ import annotations
@@ -9,84 +10,70 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.display import fmt
+from ..functions.display import fmt_by
 
-COLUMNS = ["page", "section_ord", "kind", "item", "ord", "series", "key", "label", "value", "display"]
+FIELDS = ["section_ord", "kind", "item", "ord", "series", "key", "label", "value", "how"]
+# (section, kind, item, ord, series, key, label, value, display kind); ord, key, label and value
+# are SQL over the frame, the rest are plain values.
+Cell = tuple[int, str, str, str, str | None, str, str, str, str]
 # (series name, value column, display kind)
 Series = tuple[str, str, str]
+NULL_TEXT = "CAST(NULL AS STRING)"
 
 
-def _shape(df: DataFrame, page: str, section: int, kind: str) -> DataFrame:
-    return df.select(
-        F.lit(page).alias("page"), F.lit(section).alias("section_ord"), F.lit(kind).alias("kind"),
-        "item", F.col("ord").cast("int").alias("ord"), "series", "key", "label",
-        F.round("value", 4).alias("value"), "display")
+def _quote(text: str | None) -> str:
+    return NULL_TEXT if text is None else "'" + text.replace("'", "\\'") + "'"
 
 
-def _unfold(df: DataFrame, cells: Sequence[tuple[Column, Column, Column, Column, str]],
-            *keep: Column) -> DataFrame:
-    """One output row per (item, series, label, value, kind) cell of each input row."""
-    parts = []
-    for item, series, label, value, kind in cells:
-        parts += [item, series, label, value.cast("double"), fmt(value, kind)]
-    return df.select(*keep, F.stack(F.lit(len(cells)), *parts)
-                     .alias("item", "series", "label", "value", "display"))
+def rows(df: DataFrame, page: str, *groups: Sequence[Cell]) -> DataFrame:
+    """Unfold a small frame into report rows, one per input row and cell."""
+    cells = [c for g in groups for c in g]
+    parts = ", ".join(
+        f"{section}, {_quote(kind)}, {_quote(item)}, CAST({ord_} AS INT), {_quote(series)}, "
+        f"CAST({key} AS STRING), {label}, CAST({value} AS DOUBLE), {_quote(how)}"
+        for section, kind, item, ord_, series, key, label, value, how in cells)
+    return df.selectExpr(f"{_quote(page)} AS page",
+                         f"stack({len(cells)}, {parts}) AS ({', '.join(FIELDS)})")
 
 
-def ranked_rows(df: DataFrame, *order: Column) -> DataFrame:
-    """Add the position within a small, already grouped frame."""
-    return df.withColumn("ord", F.row_number().over(Window.partitionBy().orderBy(*order)))
+def tiles(section: int, specs: Sequence[tuple[int, str, str, str]]) -> list[Cell]:
+    """Headline figures of a one-row frame; specs are (ord, label, column, display kind)."""
+    return [(section, "kpi", column, str(place), None, NULL_TEXT, _quote(label), column, how)
+            for place, label, column, how in specs]
+
+
+def chart(section: int, item: str, series: Sequence[Series], kind: str = "chart") -> list[Cell]:
+    """Series over a frame with ``ord``, ``key`` and ``label``."""
+    return [(section, kind, item, "ord", name, "key", "label", column, how)
+            for name, column, how in series]
+
 
+def finding(section: int, item: str, cells: Sequence[tuple[str, str | None, str, str]]) -> list[Cell]:
+    """Finding of a one-row frame; cells are (measure, label SQL, value column, display kind)."""
+    return [(section, "finding", item, str(i), measure, NULL_TEXT, label or NULL_TEXT, column, how)
+            for i, (measure, label, column, how) in enumerate(cells, 1)]
 
-def tiles(one: DataFrame, page: str, section: int, specs: Sequence[tuple[int, str, str, str]]) -> DataFrame:
-    """Headline figures from a one-row frame; specs are (ord, label, column, display kind)."""
-    nothing = F.lit(None).cast("string")
-    parts = []
-    for position, label, column, kind in specs:
-        value = F.col(column)
-        parts += [F.lit(position), F.lit(column), F.lit(label), value.cast("double"), fmt(value, kind)]
-    rows = one.select(F.stack(F.lit(len(specs)), *parts)
-                      .alias("ord", "item", "label", "value", "display"))
-    return _shape(rows.withColumns({"series": nothing, "key": nothing}), page, section, "kpi")
-
-
-def chart(df: DataFrame, page: str, section: int, item: str, series: Sequence[Series],
-          kind: str = "chart") -> DataFrame:
-    """Chart or table rows of a small frame with ``ord``, ``key`` and ``label``."""
-    cells = [(F.lit(item), F.lit(name), F.col("label"), F.col(column), how)
-             for name, column, how in series]
-    rows = _unfold(df.withColumn("key", F.col("key").cast("string")), cells, F.col("ord"), F.col("key"))
-    return _shape(rows, page, section, kind)
-
-
-def finding(one: DataFrame, page: str, section: int, item: str,
-            cells: Sequence[tuple[str, str | Column | None, str, str]]) -> DataFrame:
-    """Finding rows from a one-row frame; cells are (measure, label, value column, kind)."""
-    parts = []
-    for i, (measure, label, column, kind) in enumerate(cells, 1):
-        text = label if isinstance(label, Column) else F.lit(label).cast("string")
-        parts += [F.lit(i), F.lit(measure), text, F.col(column).cast("double"),
-                  fmt(F.col(column), kind)]
-    rows = one.select(F.stack(F.lit(len(cells)), *parts)
-                      .alias("ord", "series", "label", "value", "display"))
-    return _shape(rows.withColumns({"item": F.lit(item), "key": F.lit(None).cast("string")}),
-                  page, section, "finding")
-
-
-def funnel(rows: DataFrame, page: str, section: int, item: str = "funnel") -> DataFrame:
+
+def funnel(steps: DataFrame, page: str, section: int) -> DataFrame:
     """Step counts with their share of sessions, and losses with their share of the step before."""
-    keyed = rows.select(F.col("step_ord").alias("ord"), F.lit(None).cast("string").alias("key"),
-                        F.col("step").alias("label"), "value", "pct_of_sessions", "lost", "lost_pct")
-    steps = chart(keyed, page, section, item,
-                  [("sessions", "value", "count"), ("share", "pct_of_sessions", "pct")], "funnel")
-    losses = chart(keyed.filter(F.col("ord") > 1), page, section, item,
-                   [("lost", "lost", "count"), ("lost_share", "lost_pct", "pct")], "dropoff")
-    return steps.unionByName(losses)
+    keyed = steps.selectExpr("step_ord AS ord", f"{NULL_TEXT} AS key", "step AS label", "value",
+                             "pct_of_sessions", "lost", "lost_pct")
+    unfolded = rows(keyed, page,
+                    chart(section, "funnel", [("sessions", "value", "count"), ("share", "pct_of_sessions", "pct")],
+                          "funnel"),
+                    chart(section, "funnel", [("lost", "lost", "count"), ("lost_share", "lost_pct", "pct")],
+                          "dropoff"))
+    return unfolded.filter("kind = 'funnel' OR ord > 1")
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """Add the position within a small, already grouped frame."""
+    return df.withColumn("ord", F.row_number().over(Window.partitionBy().orderBy(*order)))
 
 
-def note(spark, page: str, text: str) -> DataFrame:
+def note(spark: SparkSession, page: str, text: str) -> DataFrame:
     """The single row of a page without data."""
     row = (page, 1, "note", "empty", 1, None, None, text, None, text)
     return spark.createDataFrame([row], "page string, section_ord int, kind string, item string, "
@@ -94,5 +81,10 @@ def note(spark, page: str, text: str) -> DataFrame:
                                         "value double, display string")
 
 
-def page(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts).orderBy("section_ord", "kind", "item", "ord", "series")
+def assemble(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union the pieces, order them and format every value. The pieces are a few hundred
+    aggregated rows, so one task does it without another shuffle."""
+    page = reduce(DataFrame.unionByName, parts).coalesce(1)
+    ordered = page.sortWithinPartitions("section_ord", "kind", "item", "ord", "series")
+    return ordered.select("page", *FIELDS[:7], F.round("value", 4).alias("value"),
+                          fmt_by(F.col("how"), F.col("value")).alias("display"))

@@ -8,7 +8,6 @@ customer rollup where customers are shown. Every tile and chart is folded from t
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,7 +27,11 @@ TREND_METRICS = ["revenue", "sessions", "purchases", "conversion"]
 
 
 class Cube:
-    """Checkpointed additive base aggregates over some dimensions of the sliced sessions."""
+    """Additive base aggregates over some dimensions of the sliced sessions.
+
+    Checkpointed in one piece: it holds one row per combination of codes shown on a page, and
+    everything folded from it then runs without a shuffle.
+    """
 
     def __init__(self, df: DataFrame, dims: Iterable[str], metrics: Iterable[str], by_time: bool = False):
         prepare(df.sparkSession)
@@ -39,31 +42,31 @@ class Cube:
                 "_bucket", bucket_key(F.col("_unit"), F.col("visit_date")))
             keys |= {"granularity": F.col("_unit"), "bucket": F.col("_bucket")}
             needs |= {"first_day"}
-        self.rows = base_aggregates(df, keys, needs).checkpoint()
+        self.rows = base_aggregates(df, keys, needs).repartition(1).checkpoint()
 
     def empty(self) -> bool:
         return self.rows.isEmpty()
 
     def totals(self, metrics: Iterable[str]) -> DataFrame:
-        return zero_filled(fold(self.rows.drop("b_first_day", "b_last_day")), metrics)
+        return zero_filled(fold(self.rows), metrics)
 
     def by(self, dim: str, metrics: list[str]) -> DataFrame:
         """Metrics per key of a dimension, labelled."""
-        out = fold(self.rows, dim).select(F.col(dim).alias("key"), *closed(metrics))
-        return out.select("key", DIMENSIONS[dim].label(F.col("key")).alias("label"), *metrics)
+        return fold(self.rows, dim).select(
+            F.col(dim).alias("key"), DIMENSIONS[dim].label(F.col(dim)).alias("label"), *closed(metrics))
 
     def by_size(self, dim: str, metrics: list[str], order: str = "revenue") -> DataFrame:
-        return frames.ranked_rows(self.by(dim, metrics), F.col(order).desc(), F.col("key"))
+        return frames.numbered(self.by(dim, metrics), F.col(order).desc(), F.col("key"))
 
     def by_key(self, dim: str, metrics: list[str], *order: Column) -> DataFrame:
-        return frames.ranked_rows(self.by(dim, metrics), *(order or [F.col("key").asc_nulls_last()]))
+        return frames.numbered(self.by(dim, metrics), *(order or [F.col("key").asc_nulls_last()]))
 
     def trend(self, metrics: list[str]) -> DataFrame:
         buckets = fold(self.rows, "granularity", "bucket").withColumnRenamed("bucket", "key")
-        return frames.ranked_rows(finish_trend(buckets, metrics), F.col("key"))
+        return frames.numbered(finish_trend(buckets, metrics), F.col("key"))
 
     def funnel(self) -> DataFrame:
-        return funnel_rows(fold(self.rows.drop("b_first_day", "b_last_day")))
+        return funnel_rows(fold(self.rows))
 
 
 class People:
@@ -71,18 +74,16 @@ class People:
 
     def __init__(self, df: DataFrame):
         self.rows = C.with_segments(C.rollup(df))
-        self.sums = C.segment_sums(self.rows).checkpoint()
+        self.sums = C.segment_sums(self.rows).repartition(1).checkpoint()
 
     def headline(self) -> DataFrame:
         return C.headline(self.sums)
 
     def segments(self) -> DataFrame:
-        return C.segments(self.sums).withColumns({"ord": F.col("seg_ord"), "key": F.col("seg_ord"),
-                                                  "label": F.col("segment")})
+        return C.segments(self.sums).selectExpr("*", "seg_ord AS ord", "seg_ord AS key", "segment AS label")
 
     def pareto(self) -> DataFrame:
-        return C.pareto_curve(self.sums).withColumns({"ord": F.col("seg_ord"), "key": F.col("seg_ord"),
-                                                      "label": F.col("segment")})
+        return C.pareto_curve(self.sums).selectExpr("*", "seg_ord AS ord", "seg_ord AS key", "segment AS label")
 
 
 def _duration_order() -> Column:
@@ -91,109 +92,103 @@ def _duration_order() -> Column:
 
 
 # --------------------------------------------------------------------------- findings
-def never_purchased(people: People, page: str, section: int) -> DataFrame:
-    return frames.finding(people.headline(), page, section, "never_purchased", [
+# Cells over People.headline().
+def never_purchased(section: int) -> list:
+    return frames.finding(section, "never_purchased", [
         ("share", None, "never_pct", "pct2"), ("customers", None, "never_purchased", "count"),
         ("of_customers", None, "total_customers", "count")])
 
 
-def high_value(people: People, page: str, section: int) -> DataFrame:
-    return frames.finding(people.headline(), page, section, "high_value", [
+def high_value(section: int) -> list:
+    return frames.finding(section, "high_value", [
         ("customer_share", None, "high_customer_share", "pct2"),
         ("revenue_share", None, "high_revenue_share", "pct2"),
         ("customers", None, "high_customers", "count"), ("revenue", None, "high_revenue", "inr")])
 
 
-def repeat_rate(people: People, page: str, section: int) -> DataFrame:
-    return frames.finding(people.headline(), page, section, "repeat_rate", [
+def repeat_rate(section: int) -> list:
+    return frames.finding(section, "repeat_rate", [
         ("rate", None, "repeat_rate", "pct2"), ("repeat_buyers", None, "repeat_buyers", "count"),
         ("buyers", None, "buyers", "count")])
 
 
+def _one(df: DataFrame, *aggregates: str) -> DataFrame:
+    return df.agg(*map(F.expr, aggregates))
+
+
 def user_type_gap(cube: Cube, page: str, section: int) -> DataFrame:
     """Best and worst user type by conversion, and the gaps in points."""
-    rows = cube.by("user_type", ["conversion", "abandon_rate"])
-    best = F.struct("conversion", -F.col("key"))
-    worst = F.struct(-F.col("conversion"), -F.col("key"))
-    one = rows.agg(
-        F.max_by("label", best).alias("best"), F.max_by("label", worst).alias("worst"),
-        F.max("conversion").alias("high"), F.min("conversion").alias("low"),
-        (F.max("conversion") - F.min("conversion")).alias("gap"),
-        (F.max("abandon_rate") - F.min("abandon_rate")).alias("abandon_gap"))
-    return frames.finding(one, page, section, "user_type_gap", [
-        ("best_conversion", F.col("best"), "high", "pct2"),
-        ("worst_conversion", F.col("worst"), "low", "pct2"),
-        ("gap_points", None, "gap", "num2"), ("abandonment_gap_points", None, "abandon_gap", "num2")])
+    one = _one(cube.by("user_type", ["conversion", "abandon_rate"]),
+               "max_by(label, struct(conversion, -key)) AS best",
+               "max_by(label, struct(-conversion, -key)) AS worst",
+               "max(conversion) AS high", "min(conversion) AS low",
+               "max(conversion) - min(conversion) AS gap",
+               "max(abandon_rate) - min(abandon_rate) AS abandon_gap")
+    return frames.rows(one, page, frames.finding(section, "user_type_gap", [
+        ("best_conversion", "best", "high", "pct2"), ("worst_conversion", "worst", "low", "pct2"),
+        ("gap_points", None, "gap", "num2"), ("abandonment_gap_points", None, "abandon_gap", "num2")]))
 
 
 def leading_categories(cube: Cube, page: str, section: int) -> DataFrame:
     """Category with the most revenue and category with the best conversion."""
-    rows = cube.by("category", ["revenue", "conversion"])
-    by = lambda metric: F.struct(metric, -F.col("key"))
-    one = rows.agg(
-        F.max_by("label", by("revenue")).alias("rich"), F.max("revenue").alias("rich_revenue"),
-        F.max_by("conversion", by("revenue")).alias("rich_conversion"),
-        F.max_by("label", by("conversion")).alias("keen"), F.max("conversion").alias("keen_conversion"),
-        F.max_by("revenue", by("conversion")).alias("keen_revenue"))
-    return frames.finding(one, page, section, "leading_categories", [
-        ("most_revenue", F.col("rich"), "rich_revenue", "inr"),
-        ("most_revenue_conversion", F.col("rich"), "rich_conversion", "pct2"),
-        ("best_conversion", F.col("keen"), "keen_conversion", "pct2"),
-        ("best_conversion_revenue", F.col("keen"), "keen_revenue", "inr")])
+    one = _one(cube.by("category", ["revenue", "conversion"]),
+               "max_by(label, struct(revenue, -key)) AS rich", "max(revenue) AS rich_revenue",
+               "max_by(conversion, struct(revenue, -key)) AS rich_conversion",
+               "max_by(label, struct(conversion, -key)) AS keen", "max(conversion) AS keen_conversion",
+               "max_by(revenue, struct(conversion, -key)) AS keen_revenue")
+    return frames.rows(one, page, frames.finding(section, "leading_categories", [
+        ("most_revenue", "rich", "rich_revenue", "inr"),
+        ("most_revenue_conversion", "rich", "rich_conversion", "pct2"),
+        ("best_conversion", "keen", "keen_conversion", "pct2"),
+        ("best_conversion_revenue", "keen", "keen_revenue", "inr")]))
 
 
 def duration_effect(cube: Cube, page: str, section: int) -> DataFrame:
     """Conversion of the shortest and the longest session bucket present."""
-    rows = cube.by("duration", ["conversion"]).withColumn("place", _duration_order())
-    place = F.struct("place", "key")
-    one = rows.agg(F.min_by("label", place).alias("short"), F.max_by("label", place).alias("long"),
-                   F.min_by("conversion", place).alias("short_rate"),
-                   F.max_by("conversion", place).alias("long_rate"))
-    return frames.finding(one, page, section, "duration_effect", [
-        ("shortest", F.col("short"), "short_rate", "pct2"),
-        ("longest", F.col("long"), "long_rate", "pct2")])
+    placed = cube.by("duration", ["conversion"]).withColumn("place", _duration_order())
+    one = _one(placed, "min_by(label, struct(place, key)) AS short", "max_by(label, struct(place, key)) AS long",
+               "min_by(conversion, struct(place, key)) AS short_rate",
+               "max_by(conversion, struct(place, key)) AS long_rate")
+    return frames.rows(one, page, frames.finding(section, "duration_effect", [
+        ("shortest", "short", "short_rate", "pct2"), ("longest", "long", "long_rate", "pct2")]))
 
 
 def discount_effect(cube: Cube, page: str, section: int) -> DataFrame:
     """Order value without and with the deepest discount, conversion spread, correlation."""
-    rows = cube.by("discount_bucket", ["aov", "conversion"])
-    one = rows.agg(
-        F.min_by("label", "key").alias("none"), F.min_by("aov", "key").alias("none_aov"),
-        F.max_by("label", "key").alias("deep"), F.max_by("aov", "key").alias("deep_aov"),
-        (F.max("conversion") - F.min("conversion")).alias("spread"),
-    ).withColumn("pearson", cube.totals(["discount_correlation"]).scalar())
-    return frames.finding(one, page, section, "discount_effect", [
-        ("aov_shallow", F.col("none"), "none_aov", "rupee"), ("aov_deep", F.col("deep"), "deep_aov", "rupee"),
-        ("conversion_spread_points", None, "spread", "num2"), ("pearson", None, "pearson", "num2")])
+    one = _one(cube.by("discount_bucket", ["aov", "conversion"]),
+               "min_by(label, key) AS none", "min_by(aov, key) AS none_aov",
+               "max_by(label, key) AS deep", "max_by(aov, key) AS deep_aov",
+               "max(conversion) - min(conversion) AS spread",
+               ).withColumn("pearson", cube.totals(["discount_correlation"]).scalar())
+    return frames.rows(one, page, frames.finding(section, "discount_effect", [
+        ("aov_shallow", "none", "none_aov", "rupee"), ("aov_deep", "deep", "deep_aov", "rupee"),
+        ("conversion_spread_points", None, "spread", "num2"), ("pearson", None, "pearson", "num2")]))
 
 
 def price_window(cube: Cube, page: str, section: int) -> DataFrame:
     """Revenue share of unit prices from 501 to 1,500."""
     inside = F.when(F.col("price_band").isin(1, 2), F.col("b_revenue")).otherwise(0)
     one = cube.rows.agg(F.coalesce(percent(F.sum(inside), F.sum("b_revenue")), F.lit(0.0)).alias("share"))
-    return frames.finding(one, page, section, "price_window", [
-        ("revenue_share", "₹501–1,500", "share", "pct")])
+    return frames.rows(one, page, frames.finding(section, "price_window", [
+        ("revenue_share", "'₹501–1,500'", "share", "pct")]))
 
 
 def funnel_leak(cube: Cube, page: str, section: int) -> DataFrame:
     """Share lost before and after the cart, and where more sessions are lost."""
-    at = lambda step, column: F.max(F.when(F.col("step_ord") == step, F.col(column)))
-    one = cube.funnel().agg(at(2, "lost_pct").alias("before"), at(3, "lost_pct").alias("after"),
-                            at(2, "lost").alias("before_n"), at(3, "lost").alias("after_n"))
-    worst = F.when(F.col("before_n") >= F.col("after_n"), "before the cart").otherwise("after the cart")
-    one = one.withColumn("most", F.greatest("before_n", "after_n"))
-    return frames.finding(one, page, section, "funnel_leak", [
+    one = _one(cube.funnel(),
+               "max(IF(step_ord = 2, lost_pct, NULL)) AS before", "max(IF(step_ord = 3, lost_pct, NULL)) AS after",
+               "max_by(step_ord, struct(lost, -step_ord)) AS worst", "max(lost) AS most")
+    return frames.rows(one, page, frames.finding(section, "funnel_leak", [
         ("before_cart", None, "before", "pct"), ("after_cart", None, "after", "pct"),
-        ("largest", worst, "most", "count")])
+        ("largest", "IF(worst = 2, 'before the cart', 'after the cart')", "most", "count")]))
 
 
-def conversion_stability(cube: Cube, page: str, section: int) -> DataFrame:
-    rates = cube.trend(["conversion"])
-    one = rates.agg(F.min("conversion").alias("low"), F.max("conversion").alias("high"),
-                    F.stddev_samp("conversion").alias("deviation"))
-    return frames.finding(one, page, section, "conversion_stability", [
+def conversion_stability(rates: DataFrame, page: str, section: int) -> DataFrame:
+    """Range and deviation of conversion over the trend buckets."""
+    one = _one(rates, "min(conversion) AS low", "max(conversion) AS high", "stddev_samp(conversion) AS deviation")
+    return frames.rows(one, page, frames.finding(section, "conversion_stability", [
         ("lowest", None, "low", "pct2"), ("highest", None, "high", "pct2"),
-        ("deviation_points", None, "deviation", "num2")])
+        ("deviation_points", None, "deviation", "num2")]))
 
 
 # ------------------------------------------------------------------------------ pages
@@ -204,26 +199,37 @@ def overview(df: DataFrame) -> DataFrame:
     if cube.empty():
         return frames.note(df.sparkSession, name, NO_ROWS)
     people = People(df)
-    totals = cube.totals(["revenue", "sessions", "conversion", "aov", "abandon_rate"])
-    categories = cube.by_size("category", ["revenue", "conversion"])
-    return frames.page([
-        frames.tiles(totals, name, 1, [
+    trend = cube.trend(TREND_METRICS)
+    return frames.assemble([
+        frames.rows(cube.totals(["revenue", "sessions", "conversion", "aov", "abandon_rate"]), name, frames.tiles(1, [
             (1, "Total Revenue", "revenue", "inr_m"), (2, "Total Sessions", "sessions", "count"),
             (4, "Conversion Rate", "conversion", "pct2"), (5, "AOV", "aov", "inr"),
-            (6, "Cart Abandonment", "abandon_rate", "pct2")]),
-        frames.tiles(people.headline(), name, 1, [(3, "Customers", "total_customers", "count")]),
-        frames.chart(cube.trend(TREND_METRICS), name, 2, "trend",
-                     [("revenue", "revenue", "inr"), ("conversion", "conversion", "pct2")]),
-        frames.chart(people.segments(), name, 2, "segments", [("customers", "customers", "count")]),
-        frames.chart(categories, name, 3, "category_revenue", [("revenue", "revenue", "inr")]),
-        frames.chart(categories, name, 3, "category_conversion", [("conversion", "conversion", "pct2")]),
+            (6, "Cart Abandonment", "abandon_rate", "pct2")])),
+        frames.rows(people.headline(), name, frames.tiles(1, [(3, "Customers", "total_customers", "count")]),
+                    never_purchased(5), high_value(5), repeat_rate(5)),
+        frames.rows(trend, name, frames.chart(2, "trend", [
+            ("revenue", "revenue", "inr"), ("conversion", "conversion", "pct2")])),
+        frames.rows(people.segments(), name, frames.chart(2, "segments", [("customers", "customers", "count")])),
+        frames.rows(cube.by_size("category", ["revenue", "conversion"]), name,
+                    frames.chart(3, "category_revenue", [("revenue", "revenue", "inr")]),
+                    frames.chart(3, "category_conversion", [("conversion", "conversion", "pct2")])),
         frames.funnel(cube.funnel(), name, 4),
-        never_purchased(people, name, 5), high_value(people, name, 5),
-        user_type_gap(cube, name, 5), repeat_rate(people, name, 5),
-        leading_categories(cube, name, 6), conversion_stability(cube, name, 6),
+        user_type_gap(cube, name, 5),
+        leading_categories(cube, name, 6), conversion_stability(trend, name, 6),
     ])
 
 
+# Columns and display kinds of the two report tables.
+SEGMENT_TABLE = [
+    ("customers", "customers", "count"), ("share", "customer_share", "pct2"),
+    ("revenue", "revenue", "inr"), ("revenue_share", "revenue_share", "pct2"),
+    ("aov", "aov", "rupee"), ("conversion", "conversion", "pct2"), ("repeat_rate", "repeat_rate", "pct")]
+CATEGORY_TABLE = [
+    ("revenue", "revenue", "inr"), ("conversion", "conversion", "pct2"), ("aov", "aov", "rupee"),
+    ("avg_price", "avg_price", "rupee"), ("sessions", "sessions", "count")]
+USER_TYPE_SERIES = [("conversion", "conversion", "pct2"), ("abandonment", "abandon_rate", "pct2")]
+
+
 def customers(df: DataFrame) -> DataFrame:
     name = "customers"
     cube = Cube(df, ["user_type"], ["conversion", "abandon_rate", "revenue"])
@@ -232,44 +238,32 @@ def customers(df: DataFrame) -> DataFrame:
     people = People(df)
     head = people.headline().withColumns({
         "revenue_per_customer": F.col("total_revenue") / F.col("total_customers"),
-        "sessions_per_customer": people.sums.agg(F.sum("sessions") / F.sum("customers")).scalar()})
-    segments = people.segments()
-    frequency = C.purchase_frequency(people.rows).withColumns({"ord": F.col("n"), "key": F.col("n")})
-    visits = frames.ranked_rows(C.sessions_histogram(people.rows), F.col("sessions")).withColumns(
-        {"key": F.col("sessions"), "label": F.col("sessions").cast("string")})
-    user_types = cube.by_key("user_type", ["conversion", "abandon_rate"])
-    return frames.page([
-        frames.tiles(head, name, 1, [
+        "sessions_per_customer": people.sums.agg(F.expr("sum(sessions) / sum(customers)")).scalar()})
+    visits = frames.numbered(C.sessions_histogram(people.rows), F.col("sessions"))
+    return frames.assemble([
+        frames.rows(head, name, frames.tiles(1, [
             (1, "Customers", "total_customers", "count"), (2, "Never purchased", "never_purchased", "count"),
             (3, "Buyers", "buyers", "count"), (4, "Repeat buyers", "repeat_buyers", "count"),
             (5, "Revenue / customer", "revenue_per_customer", "inr"),
             (6, "Sessions / customer", "sessions_per_customer", "num1")]),
-        frames.chart(segments, name, 2, "segment_mix",
-                     [("customers", "customers", "count"), ("share", "customer_share", "pct2")]),
-        frames.chart(segments, name, 2, "segment_revenue", [("revenue", "revenue", "inr")]),
-        frames.chart(segments, name, 2, "segment_count", [("customers", "customers", "count")]),
-        frames.chart(frequency, name, 3, "purchase_frequency", [("buyers", "customers", "count")]),
-        frames.chart(visits, name, 3, "sessions_per_customer", [("customers", "customers", "count")]),
-        frames.chart(user_types, name, 3, "user_type", [
-            ("conversion", "conversion", "pct2"), ("abandonment", "abandon_rate", "pct2")]),
-        frames.chart(people.pareto(), name, 4, "pareto", [
-            ("cumulative_revenue", "cum_revenue", "pct2"),
-            ("cumulative_customers", "cum_customers", "pct2")]),
-        frames.chart(segments, name, 5, "segment_table", SEGMENT_TABLE, "table"),
-        never_purchased(people, name, 6), high_value(people, name, 6), user_type_gap(cube, name, 6),
+            never_purchased(6), high_value(6)),
+        frames.rows(people.segments(), name,
+                    frames.chart(2, "segment_mix", [("customers", "customers", "count"), ("share", "customer_share", "pct2")]),
+                    frames.chart(2, "segment_revenue", [("revenue", "revenue", "inr")]),
+                    frames.chart(2, "segment_count", [("customers", "customers", "count")]),
+                    frames.chart(5, "segment_table", SEGMENT_TABLE, "table")),
+        frames.rows(C.purchase_frequency(people.rows).selectExpr("*", "n AS ord", "n AS key"), name,
+                    frames.chart(3, "purchase_frequency", [("buyers", "customers", "count")])),
+        frames.rows(visits.selectExpr("*", "sessions AS key", "CAST(sessions AS STRING) AS label"), name,
+                    frames.chart(3, "sessions_per_customer", [("customers", "customers", "count")])),
+        frames.rows(cube.by_key("user_type", ["conversion", "abandon_rate"]), name,
+                    frames.chart(3, "user_type", USER_TYPE_SERIES)),
+        frames.rows(people.pareto(), name, frames.chart(4, "pareto", [
+            ("cumulative_revenue", "cum_revenue", "pct2"), ("cumulative_customers", "cum_customers", "pct2")])),
+        user_type_gap(cube, name, 6),
     ])
 
 
-# Columns and display kinds of the two report tables.
-SEGMENT_TABLE = [
-    ("customers", "customers", "count"), ("share", "customer_share", "pct2"),
-    ("revenue", "revenue", "inr"), ("revenue_share", "revenue_share", "pct2"),
-    ("aov", "aov", "rupee"), ("conversion", "conversion", "pct2"), ("repeat_rate", "repeat_rate", "pct")]
-CATEGORY_TABLE = [
-    ("revenue", "revenue", "inr"), ("conversion", "conversion", "pct2"), ("aov", "aov", "rupee"),
-    ("avg_price", "avg_price", "rupee"), ("sessions", "sessions", "count")]
-
-
 def conversion(df: DataFrame) -> DataFrame:
     name = "conversion"
     cube = Cube(df, ["user_type", "duration", "discount_bucket"],
@@ -277,20 +271,20 @@ def conversion(df: DataFrame) -> DataFrame:
     if cube.empty():
         return frames.note(df.sparkSession, name, NO_ROWS)
     totals = cube.totals(["sessions", "carts", "purchases", "abandoned", "conversion", "abandon_rate"])
-    durations = cube.by_key("duration", ["conversion"], _duration_order(), F.col("key"))
-    discounts = cube.by_key("discount_bucket", ["sessions", "conversion", "aov"])
-    return frames.page([
-        frames.tiles(totals, name, 1, [
+    return frames.assemble([
+        frames.rows(totals, name, frames.tiles(1, [
             (1, "Sessions", "sessions", "count"), (2, "Added to cart", "carts", "count"),
             (3, "Purchases", "purchases", "count"), (4, "Abandoned", "abandoned", "count"),
-            (5, "Conversion", "conversion", "pct2"), (6, "Abandonment", "abandon_rate", "pct2")]),
+            (5, "Conversion", "conversion", "pct2"), (6, "Abandonment", "abandon_rate", "pct2")])),
         frames.funnel(cube.funnel(), name, 2),
-        frames.chart(cube.by_key("user_type", ["conversion", "abandon_rate"]), name, 3, "user_type", [
-            ("conversion", "conversion", "pct2"), ("abandonment", "abandon_rate", "pct2")]),
-        frames.chart(durations, name, 3, "duration", [("conversion", "conversion", "pct2")]),
-        frames.chart(discounts, name, 4, "discount_conversion", [
-            ("sessions", "sessions", "count"), ("conversion", "conversion", "pct2")]),
-        frames.chart(discounts, name, 4, "discount_aov", [("aov", "aov", "inr")]),
+        frames.rows(cube.by_key("user_type", ["conversion", "abandon_rate"]), name,
+                    frames.chart(3, "user_type", USER_TYPE_SERIES)),
+        frames.rows(cube.by_key("duration", ["conversion"], _duration_order(), F.col("key")), name,
+                    frames.chart(3, "duration", [("conversion", "conversion", "pct2")])),
+        frames.rows(cube.by_key("discount_bucket", ["sessions", "conversion", "aov"]), name,
+                    frames.chart(4, "discount_conversion", [
+                        ("sessions", "sessions", "count"), ("conversion", "conversion", "pct2")]),
+                    frames.chart(4, "discount_aov", [("aov", "aov", "inr")])),
         user_type_gap(cube, name, 5), duration_effect(cube, name, 5),
         discount_effect(cube, name, 5), funnel_leak(cube, name, 5),
     ])
@@ -304,23 +298,23 @@ def categories(df: DataFrame) -> DataFrame:
         return frames.note(df.sparkSession, name, NO_ROWS)
     totals = cube.totals(["revenue", "conversion", "aov", "avg_price", "avg_discount"]).withColumn(
         "categories", cube.rows.agg(F.count_distinct("category")).scalar())
-    by_category = cube.by_size("category", ["revenue", "conversion", "aov", "avg_price", "sessions"])
-    bands = cube.by_key("price_band", ["revenue", "conversion", "aov"])
-    payments = cube.by_size("payment", ["purchases"], "purchases")
-    return frames.page([
-        frames.tiles(totals, name, 1, [
+    return frames.assemble([
+        frames.rows(totals, name, frames.tiles(1, [
             (1, "Total Revenue", "revenue", "inr_m"), (2, "Categories", "categories", "count"),
             (3, "Conversion", "conversion", "pct2"), (4, "AOV", "aov", "inr"),
-            (5, "Avg price", "avg_price", "inr"), (6, "Avg discount", "avg_discount", "pct")]),
-        frames.chart(by_category, name, 2, "category_revenue", [("revenue", "revenue", "inr")]),
-        frames.chart(by_category, name, 2, "category_revenue_conversion", [
-            ("revenue", "revenue", "inr"), ("conversion", "conversion", "pct2")]),
-        frames.chart(by_category, name, 3, "category_price", [("avg_price", "avg_price", "inr")]),
-        frames.chart(bands, name, 3, "price_revenue", [("revenue", "revenue", "inr")]),
-        frames.chart(bands, name, 4, "price_conversion_aov", [
-            ("conversion", "conversion", "pct2"), ("aov", "aov", "inr")]),
-        frames.chart(payments, name, 4, "payment_mix", [("purchases", "purchases", "count")]),
-        frames.chart(by_category, name, 5, "category_table", CATEGORY_TABLE, "table"),
+            (5, "Avg price", "avg_price", "inr"), (6, "Avg discount", "avg_discount", "pct")])),
+        frames.rows(cube.by_size("category", ["revenue", "conversion", "aov", "avg_price", "sessions"]), name,
+                    frames.chart(2, "category_revenue", [("revenue", "revenue", "inr")]),
+                    frames.chart(2, "category_revenue_conversion", [
+                        ("revenue", "revenue", "inr"), ("conversion", "conversion", "pct2")]),
+                    frames.chart(3, "category_price", [("avg_price", "avg_price", "inr")]),
+                    frames.chart(5, "category_table", CATEGORY_TABLE, "table")),
+        frames.rows(cube.by_key("price_band", ["revenue", "conversion", "aov"]), name,
+                    frames.chart(3, "price_revenue", [("revenue", "revenue", "inr")]),
+                    frames.chart(4, "price_conversion_aov", [
+                        ("conversion", "conversion", "pct2"), ("aov", "aov", "inr")])),
+        frames.rows(cube.by_size("payment", ["purchases"], "purchases"), name,
+                    frames.chart(4, "payment_mix", [("purchases", "purchases", "count")])),
         leading_categories(cube, name, 6), price_window(cube, name, 6),
     ])
 
@@ -337,10 +331,9 @@ def findings(df: DataFrame) -> DataFrame:
     if cube.empty():
         return frames.note(df.sparkSession, name, NO_ROWS)
     people = People(df)
-    parts = [
-        *[f(people, name, 1) for f in (never_purchased, high_value, repeat_rate)],
+    return frames.assemble([
+        frames.rows(people.headline(), name, never_purchased(1), high_value(1), repeat_rate(1)),
         *[f(cube, name, 2) for f in (user_type_gap, leading_categories, duration_effect,
-                                     discount_effect, price_window, funnel_leak,
-                                     conversion_stability)],
-    ]
-    return reduce(DataFrame.unionByName, parts)
+                                     discount_effect, price_window, funnel_leak)],
+        conversion_stability(cube.trend(["conversion"]), name, 2),
+    ])
