@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import prepare, shuffle_width
+from ..session import literal, prepare, shuffle_width
 
 # monotonically_increasing_id keeps the partition above bit 33 and the row position below.
 POSITION_BITS = 33
@@ -39,8 +39,8 @@ def _starts(df: DataFrame, weight: Column, by: list[str]) -> DataFrame:
 def row_numbers(df: DataFrame, *order: Column, name: str = "rn") -> DataFrame:
     """Add a gapless 1-based row number over a total order."""
     split = split_in_order(df, *order)
-    starts = _starts(split, F.lit(1), []).select("_range", "_before")
-    # One row per range: the broadcast is as long as the shuffle is wide.
+    # One row per range: as many as the shuffle is wide.
+    starts = literal(_starts(split, F.lit(1), []).select("_range", "_before"))
     return (split.join(F.broadcast(starts), "_range")
             .withColumn(name, F.col("_before") + F.col("_position"))
             .drop("_range", "_position", "_before"))

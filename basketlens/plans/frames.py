@@ -8,8 +8,9 @@ value, display). A small aggregated frame is unfolded into all the rows it feeds
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.display import fmt_by
@@ -87,4 +88,10 @@ def assemble(parts: Sequence[DataFrame]) -> DataFrame:
     page = reduce(DataFrame.unionByName, parts).coalesce(1)
     ordered = page.sortWithinPartitions("section_ord", "kind", "item", "ord", "series")
     return ordered.select("page", *FIELDS[:7], F.round("value", 4).alias("value"),
-                          fmt_by(F.col("how"), F.col("value")).alias("display"))
+                          _display(id(SparkContext._gateway)).alias("display"))
+
+
+@cache
+def _display(gateway: int) -> Column:
+    """The display expression, built once per JVM: it has a few hundred nodes."""
+    return fmt_by(F.col("how"), F.col("value"))

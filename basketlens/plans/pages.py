@@ -19,7 +19,7 @@ from ..operators import customers as C
 from ..operators.aggregate import base_aggregates, fold, zero_filled
 from ..operators.funnel import funnel_rows
 from ..operators.trend import bucket_key, finish_trend, fitting_granularity
-from ..session import prepare
+from ..session import literal, prepare
 from . import frames
 
 NO_ROWS = "No rows match these filters"
@@ -42,7 +42,7 @@ class Cube:
                 "_bucket", bucket_key(F.col("_unit"), F.col("visit_date")))
             keys |= {"granularity": F.col("_unit"), "bucket": F.col("_bucket")}
             needs |= {"first_day"}
-        self.rows = base_aggregates(df, keys, needs).repartition(1).checkpoint()
+        self.rows = base_aggregates(df, keys, needs).repartition(1).checkpoint().coalesce(1)
 
     def empty(self) -> bool:
         return self.rows.isEmpty()
@@ -74,7 +74,7 @@ class People:
 
     def __init__(self, df: DataFrame):
         self.rows = C.with_segments(C.rollup(df))
-        self.sums = C.segment_sums(self.rows).repartition(1).checkpoint()
+        self.sums = literal(C.segment_sums(self.rows))
 
     def headline(self) -> DataFrame:
         return C.headline(self.sums)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -26,6 +26,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def literal(df: DataFrame) -> DataFrame:
+    """Run a frame now and keep its rows in the plan. Only for whole numbers and plain text,
+    and only where the number of rows is bounded by design (segments, ranges of a shuffle)."""
+    types = dict(df.dtypes)
+    show = {"string": lambda v: "'" + v.replace("'", "\\'") + "'"}
+    cell = lambda v, t: f"CAST({'NULL' if v is None else show.get(t, str)(v)} AS {t})"
+    rows = [", ".join(cell(v, t) for v, t in zip(r, types.values())) for r in df.collect()]
+    if not rows:
+        return df.limit(0)
+    values = ", ".join(f"({r})" for r in rows)
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(types)})").coalesce(1)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions used wherever a partition count must be pinned."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
