@@ -127,7 +127,7 @@ def _fmt_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 def _fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     files = raw_csv.fingerprint(prepare(spark), f"{folder}/*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "digest")
 
 
 def _trend_slice(args: dict[str, str]) -> Query:

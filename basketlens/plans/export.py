@@ -48,7 +48,9 @@ def build_store(spark: SparkSession, csv_path: str, folder: str) -> None:
 
 
 def write_store(raw: DataFrame, folder: str) -> None:
-    parsed = cleaning.parse(raw)
+    """Parse the text once into a staged table; everything typed then reads only its columns."""
+    store.write_table(cleaning.parse(raw), folder, "parsed")
+    parsed = store.read_table(raw.sparkSession, folder, "parsed")
     accepted = cleaning.accepted(parsed)
     store.write_sessions(cleaning.one_row_per_session(accepted), folder)
     store.write_table(cleaning.rejected(parsed), folder, "rejects")

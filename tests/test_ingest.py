@@ -65,11 +65,20 @@ def test_build_and_reopen(spark, tmp_path, folder):
     assert len(json.loads(meta["findings"])) >= 4
     assert store.read_table(spark, here, "dq_columns").count() == 29
     assert store.read_table(spark, here, "rejects").count() == int(meta["unparsed_rows"])
-    assert store.read_table(spark, here, "source_files").filter("length(sha256) = 64").count() > 0
+    assert store.read_table(spark, here, "source_files").filter("length(digest) = 64").count() > 0
     assert store.status(stored).first().ready
     assert pages.conversion(stored).count() > 40
 
 
+def test_large_files_are_fingerprinted_in_splits(spark, tmp_path):
+    for name, lines in (("a", "x\ny\n"), ("b", "y\nx\n"), ("c", "x\nx\n")):
+        (tmp_path / f"{name}.csv").write_text(lines * 100)
+    got = {r.path[-5]: r.digest for r in raw_csv.fingerprint(spark, str(tmp_path), whole_up_to=10).collect()}
+    assert got["a"] == got["b"] != got["c"] and got["a"].startswith("lines:200:")
+    whole = {r.digest for r in raw_csv.fingerprint(spark, str(tmp_path)).collect()}
+    assert len(whole) == 3 and all(len(d) == 64 for d in whole)
+
+
 def test_missing_store_is_none_but_other_errors_surface(spark, tmp_path):
     assert store.stored_sessions(spark, str(tmp_path / "nowhere")) is None
 
