@@ -145,30 +145,37 @@ def common_rating(clean: DataFrame) -> DataFrame:
 
 
 def rule_counts(clean: DataFrame) -> DataFrame:
-    """Offending rows per rule: one pass for the row rules, one for ids, one for ratings."""
+    """Offending rows per rule: one pass for row rules and ratings, one for repeated ids.
+
+    The first pass is grouped by rating and outcome (a handful of rows), so that the most
+    common rating without a purchase falls out of it too.
+    """
     c = F.col
     sold, unsold, carted = c("purchased") == 1, c("purchased") == 0, c("added_to_cart") == 1
-    expected = F.floor((c("gross_cents") * c("discount_percent") + 50) / F.lit(100))
     tests = {
         "zero_revenue_purchase": sold & (c("revenue_cents") == 0),
         "revenue_without_purchase": unsold & (c("revenue_cents") > 0),
-        "discount_mismatch": F.abs(c("discount_cents") - expected) > 2,
+        "discount_mismatch": F.expr(
+            "abs(discount_cents - (gross_cents * discount_percent + 50) div 100) > 2"),
         "purchase_without_cart": sold & (c("added_to_cart") == 0),
         "cart_not_ended_once": carted & (c("purchased") + c("cart_abandoned") != 1),
         "price_not_positive": c("unit_cents") <= 0,
     }
-    counted = clean.agg(F.count(F.lit(1)).alias("rows"),
-                        *[F.count_if(t).alias(name) for name, t in tests.items()])
+    counted = clean.groupBy("rating", unsold.alias("unsold")).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(t).alias(name) for name, t in tests.items()])
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    one = counted.agg(
+        *[zero(F.sum(n)).alias(n) for n in ["rows", *tests]],
+        F.max_by(F.struct("rows", "rating"), F.when(c("unsold"), F.struct(c("rows"), -c("rating"))))
+        .alias("usual"))
     none = F.lit(None).cast("int")
-    rows = counted.select(F.stack(
-        F.lit(len(tests) + 1), *[p for n in ["rows", *tests] for p in (F.lit(n), F.col(n))]
-    ).alias("rule", "n")).withColumn("value", none)
-    extra = duplicate_sessions(clean).agg(
-        F.lit("duplicate_session_id").alias("rule"),
-        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n"), none.alias("value"))
-    rating = common_rating(clean).select(
-        F.lit("placeholder_rating").alias("rule"), "n", F.col("rating").alias("value"))
-    return rows.unionByName(extra).unionByName(rating)
+    rows = one.select(F.stack(
+        F.lit(len(tests) + 2), *[p for n in ["rows", *tests] for p in (F.lit(n), c(n), none)],
+        F.lit("placeholder_rating"), c("usual.rows"), c("usual.rating")).alias("rule", "n", "value"))
+    repeated = duplicate_sessions(clean).agg(
+        F.lit("duplicate_session_id").alias("rule"), zero(F.sum(c("copies") - 1)).alias("n"),
+        none.alias("value"))
+    return rows.filter(c("n").isNotNull()).unionByName(repeated)
 
 
 # rule -> (column, title and detail when broken, severity, title and detail when it holds);
