@@ -324,10 +324,14 @@ PAGES = {"overview": overview, "customers": customers, "conversion": conversion,
 
 
 def findings(df: DataFrame) -> DataFrame:
-    """Every computed finding, from one cube and the segments."""
+    """Every computed finding, from two cubes and the segments.
+
+    Time has its own cube: crossed with five code dimensions it would approach one row per
+    session.
+    """
     name = "findings"
     cube = Cube(df, ["category", "user_type", "duration", "discount_bucket", "price_band"],
-                ["revenue", "purchases", "carts", "abandoned", "discount_correlation"], by_time=True)
+                ["revenue", "purchases", "carts", "abandoned", "discount_correlation"])
     if cube.empty():
         return frames.note(df.sparkSession, name, NO_ROWS)
     people = People(df)
@@ -335,5 +339,5 @@ def findings(df: DataFrame) -> DataFrame:
         frames.rows(people.headline(), name, never_purchased(1), high_value(1), repeat_rate(1)),
         *[f(cube, name, 2) for f in (user_type_gap, leading_categories, duration_effect,
                                      discount_effect, price_window, funnel_leak)],
-        conversion_stability(cube.trend(["conversion"]), name, 2),
+        conversion_stability(Cube(df, [], ["conversion"], by_time=True).trend(["conversion"]), name, 2),
     ])
