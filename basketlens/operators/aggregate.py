@@ -12,30 +12,38 @@ from ..functions.metrics import (ADDITIVE, CUSTOMER_DISTINCT, METRICS, PRODUCT_D
                                  closed, merged, needed_bases)
 
 
-def base_aggregates(df: DataFrame, keys: dict[str, Column], needs: Iterable[str]) -> DataFrame:
+def base_aggregates(df: DataFrame, keys: dict[str, Column], needs: Iterable[str],
+                    costly_input: bool = False) -> DataFrame:
     """Base aggregates per key.
 
     Additive ones come from a single map-side-combined pass. Distinct customers come from a
     second, narrow pass that first shrinks the rows to one per (key, customer) with two
     flags; distinct products likewise. That replaces ``count(distinct)``, which would
     multiply every fact row by the number of distinct expressions before the shuffle.
+
+    Where reading ``df`` again costs more than a wider shuffle (it holds a join), the additive
+    ones ride along with the customer pass instead of taking their own.
     """
     needs = set(needs)
     names = list(keys)
     by = [key.alias(name) for name, key in keys.items()]
     additive = [n for n in ADDITIVE if n in needs]
     parts = []
-    if additive or not needs:
+    together = costly_input and additive and needs & CUSTOMER_DISTINCT
+    if (additive or not needs) and not together:
         parts.append(df.groupBy(*by).agg(
             *[ADDITIVE[n]().alias(f"b_{n}") for n in additive or ["sessions"]]))
     if needs & CUSTOMER_DISTINCT:
-        people = (df.filter(F.col("customer_id").isNotNull())
-                  .groupBy(*by, "customer_id")
-                  .agg(F.max(F.col("purchased") == 1).alias("_bought"),
+        carried = additive if together else []
+        known = F.col("customer_id").isNotNull()
+        people = ((df if together else df.filter(known)).groupBy(*by, "customer_id")
+                  .agg(*[ADDITIVE[n]().alias(f"b_{n}") for n in carried],
+                       F.max(F.col("purchased") == 1).alias("_bought"),
                        F.max(F.col("purchased") == 0).alias("_browsed")))
-        counts = {"customers": F.count(F.lit(1)), "buyers": F.count_if("_bought"),
-                  "browsers": F.count_if("_browsed")}
+        counts = {"customers": F.count("customer_id"), "buyers": F.count_if(known & F.col("_bought")),
+                  "browsers": F.count_if(known & F.col("_browsed"))}
         parts.append(people.groupBy(*names).agg(
+            *[merged(n) for n in carried],
             *[c.alias(f"b_{n}") for n, c in counts.items() if n in needs]))
     if needs & PRODUCT_DISTINCT:
         items = df.filter(F.col("product_id").isNotNull()).select(*by, "product_id").distinct()

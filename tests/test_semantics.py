@@ -115,6 +115,16 @@ def test_totals_of_nothing_are_zero_and_groups_keep_null(make):
     assert only.aov is None and only.rating is None and only.helpful_votes == 0
 
 
+def test_one_pass_and_separate_passes_agree(make):
+    rows = [row(i, i % 3, i % 2, 10 * i, product_category=i % 4) for i in range(30)]
+    df = make(rows + [row(99, None), row(98, None, 1, 7)])
+    needs = {"sessions", "revenue", "rated", "top_revenue", "customers", "buyers", "browsers", "products"}
+    for keys in ({}, {"key": F.col("product_category")}):
+        got = [sorted(map(tuple, A.base_aggregates(df, keys, needs, costly).select(
+            *keys, *sorted(f"b_{n}" for n in needs)).collect())) for costly in (False, True)]
+        assert got[0] == got[1]
+
+
 def test_rating_uses_purchases_only(make):
     df = make([row(1, 1, 1, 5, rating=2), row(2, 1), row(3, 1)])
     assert A.totals(df).first().rating == 2.0
