@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, warc
+from . import bpe, quality_rules, token_counts, warc
 from .common import table
 
 
+# Places of the vocabulary files; a cluster sets them where its driver keeps its copies.
+WORD_BPE = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "word_bpe_49k.json")
+PIECES = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
+
+
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), WORD_BPE)
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
@@ -18,5 +29,10 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")])
 
 
-QUERIES = {f.__name__: f for f in (op5_warc, op9_quality_rules)}
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, PIECES).select("doc_id", "tokens.n_pretokens", "tokens.n_tokens")
+
+
+QUERIES = {f.__name__: f for f in (op4_bpe, op5_warc, op9_quality_rules, op10_token_counts)}
 ORACLES: dict[str, str] = {}
