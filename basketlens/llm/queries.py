@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, quality_rules, token_counts, warc
-from .common import table
+from . import bpe, language_id, quality_rules, token_counts, warc
+from .common import bucket, table
 
 
 # Places of the vocabulary files; a cluster sets them where its driver keeps its copies.
@@ -23,6 +23,14 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    rest = bucket("doc_id", 3)
+    model = language_id.learn(docs.filter(rest != 1))
+    told = language_id.identify(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", (rest == 1).alias("held_out"), "language.lang_pred", "language.score")
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = quality_rules.judge(table(spark, folder, "documents").select("doc_id", "text"))
     return rules.select("doc_id", *[F.col(f"rules.{c}") for c in (
@@ -34,5 +42,5 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, PIECES).select("doc_id", "tokens.n_pretokens", "tokens.n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op5_warc, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op4_bpe, op5_warc, op7_language_id, op9_quality_rules, op10_token_counts)}
 ORACLES: dict[str, str] = {}
