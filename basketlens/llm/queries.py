@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language_id, quality_rules, token_counts, warc
+from . import bpe, language_id, lm_scoring, mixing, quality_rules, token_counts, warc
 from .common import bucket, table
 
 
@@ -15,6 +15,12 @@ WORD_BPE = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "wor
 PIECES = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
 
 
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    told = lm_scoring.score(docs, train=bucket("doc_id", 7) != 2)
+    return told.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), WORD_BPE)
 
@@ -31,6 +37,11 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("doc_id", (rest == 1).alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, target_entropy=0.95).select("doc_id", "source", "mix.epoch", "mix.block", F.round("mix.weight", 9).alias("weight"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = quality_rules.judge(table(spark, folder, "documents").select("doc_id", "text"))
     return rules.select("doc_id", *[F.col(f"rules.{c}") for c in (
@@ -42,5 +53,5 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, PIECES).select("doc_id", "tokens.n_pretokens", "tokens.n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op5_warc, op7_language_id, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_lm_scoring, op4_bpe, op5_warc, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts)}
 ORACLES: dict[str, str] = {}
