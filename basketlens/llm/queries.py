@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, language_id, lm_scoring, mixing, quality_rules, token_counts, warc
+from . import bpe, embedding_dedup, language_id, lm_scoring, mixing, quality_rules, token_counts, warc
 from .common import bucket, table
 
 
@@ -29,6 +29,10 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
 
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     rest = bucket("doc_id", 3)
@@ -53,5 +57,5 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, PIECES).select("doc_id", "tokens.n_pretokens", "tokens.n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op3_lm_scoring, op4_bpe, op5_warc, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_lm_scoring, op4_bpe, op5_warc, op6_embedding_dedup, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts)}
 ORACLES: dict[str, str] = {}
