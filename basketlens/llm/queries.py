@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embedding_dedup, language_id, lm_scoring, mixing, quality_rules, token_counts, warc
+from . import bpe, embedding_dedup, language_id, lm_scoring, mixing, ngram_join, quality_rules, token_counts, warc
 from .common import bucket, table
 
 
@@ -15,6 +15,10 @@ WORD_BPE = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "wor
 PIECES = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.link(table(spark, folder, "documents"))
+
+
 def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     told = lm_scoring.score(docs, train=bucket("doc_id", 7) != 2)
@@ -57,5 +61,5 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, PIECES).select("doc_id", "tokens.n_pretokens", "tokens.n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op3_lm_scoring, op4_bpe, op5_warc, op6_embedding_dedup, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_lm_scoring, op4_bpe, op5_warc, op6_embedding_dedup, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts)}
 ORACLES: dict[str, str] = {}
