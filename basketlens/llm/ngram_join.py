@@ -11,13 +11,12 @@ weakest (empty ones, single shingles of common passages) are left out and nothin
 many segments there are of each value and how large e is follows from a cost model of signatures
 and chance agreements, fed with the number of sets per band.
 
-Candidates are verified on the full sets. Sets with equal shingles are one class from the start.
-In a group that shares a signature every member is first compared with the group's smallest one.
-Components are built from the links found, and only pairs that lie in different components are
-still compared: all of them where a group is small; where it is large (many texts that share one
-passage), the group is split again by the members' other subsets, as similar sets agree on 1 + e
-of them. Large groups of copies collapse in the first step, large groups of strangers in the
-second; no pair is dropped.
+Sets with equal shingles are one class from the start. In a group that shares a signature every
+member is first paired with the group's smallest one, and the links found make components. Only
+pairs that lie in different components are then compared, in tasks of two blocks of members each,
+by parity sketches of the sets, which can rule a link out but never lose one; what they leave is
+verified on the full sets. Copies collapse in the first step, strangers that share a long passage
+fail in the second without their pairs ever becoming rows; no pair is dropped.
 
 Defined results: null or empty texts and texts without words have no shingles and link with
 nothing; fewer words than a shingle make one shingle of the whole text; similarity equal to the
@@ -36,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ready, stored, texts_of
+from .common import ready, stored, texts_of, width
 from .components import components
 from .lm_scoring import pack_keys, squeeze, unpack_keys, widen
 from .shingles import GAP, Hasher, mix, node_of
@@ -45,11 +44,12 @@ SIZE = 5
 PERCENT = 80  # similarity 0.8
 BLOCK_SHINGLES = 1_500_000
 SHARD_ENTRIES = 1 << 20
-SMALL_GROUP = 48  # members up to which all pairs of different components are compared
-DOC_DDL = "doc_id bigint, n_shingles bigint, node bigint"
+GROUP_BLOCK = 512  # members of a group that one task compares with as many others
+
+DOC_DDL = "doc_id bigint, n_shingles bigint, node bigint, sketch binary"
 ENTRY_DDL = "shard int, keys binary, nodes binary, at binary"
 GROUP_DDL = "kind int, g bigint, a bigint, b bigint"
-MEMBER_DDL = "g bigint, a bigint, used array<bigint>, done boolean, b bigint"
+PAIR_DDL = "a bigint, b bigint"
 
 
 @dataclass
@@ -86,10 +86,8 @@ def allocate(low: int, high: int, sets: int, percent: int = PERCENT) -> Label:
     need = differ(2 * high, percent) + 1
     size = (low + high) / 2
     best = None
-    for doubles in sorted({0, 1, 2, need // 8, need // 4, need // 2}):
-        if 2 * doubles > need:
-            continue
-        for share in (0, 0.05, 0.1, 0.15, 0.2):
+    for doubles in range(need // 2 + 1 if need <= 4 else 1):
+        for share in (0, 0.1, 0.2, 0.3):
             spare = math.ceil(share * need)
             singles = need - 2 * doubles + spare
             if doubles + singles == 0 or spare >= singles > 0:
@@ -98,7 +96,7 @@ def allocate(low: int, high: int, sets: int, percent: int = PERCENT) -> Label:
             weak = lambda k: math.exp(-mean) * sum(mean ** i / math.factorial(i) for i in range(k + 1))
             signatures = singles - spare + doubles * (1 + mean)
             chance = max(0.0, singles * weak(1) - spare) + doubles * weak(2)
-            cost = signatures + chance * min(1000.0, sets / 50)
+            cost = signatures + chance * min(1000.0, sets / 20)
             if best is None or cost < best[0]:
                 best = (cost, Label(low, high, doubles, singles, spare))
     return best[1]
@@ -171,12 +169,38 @@ def signatures(sets: list[np.ndarray], bands: list[int], labels: list[Label], pe
     return np.concatenate(owners), np.concatenate(keys)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles' hashes in 2n to 4n bits (64 at least). Two sketches differ in no
+    more bits than the sets differ in shingles, also after folding the longer one."""
+    bits = max(64, 1 << int(2 * len(shingles) - 1).bit_length())
+    place = (shingles >> np.uint64(20)) & np.uint64(bits - 1)
+    odd = np.bincount(place.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches side by side, folded to the shortest."""
+    words = [np.frombuffer(x, dtype=np.uint64) for x in sketches]
+    least = min(map(len, words))
+    return np.stack([np.bitwise_xor.reduce(w.reshape(-1, least), axis=0) for w in words])
+
+
+def may_link(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Matrix of pairs that the sketches and sizes do not rule out."""
+    apart = np.zeros((len(a), len(b)), dtype=np.uint16 if a.shape[1] < 1000 else np.uint32)
+    for k in range(a.shape[1]):
+        apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
+    total = na[:, None] + nb[None, :]
+    return (apart <= total * (100 - PERCENT) // (100 + PERCENT)) & (np.minimum(na[:, None], nb[None, :]) * 100 >= PERCENT * np.maximum(na[:, None], nb[None, :]))
+
+
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(SIZE)
     for batch in batches:
         sets = hasher.sets(texts_of(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                                          pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+        cols = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "sketch"])
 
 
 def emit(labels: list[Label], bounds: list[int], bits: int):
@@ -213,7 +237,7 @@ def emit(labels: list[Label], bounds: list[int], bits: int):
 
 def group(rows: pd.DataFrame) -> pd.DataFrame:
     """Groups of a shard: pairs (kind 0: smallest member a, other member b) and, of groups with more
-    than two members, the members (kind 1: group g, key a, member b). Equal groups are one."""
+    than two members, the members (kind 1: group g, member b). Equal groups are one."""
     keys, nodes = [], []
     for k, n, at in zip(rows["keys"], rows["nodes"], rows["at"]):
         keys.append(unpack_keys(k))
@@ -242,10 +266,10 @@ def grouped(key: np.ndarray, node: np.ndarray) -> pd.DataFrame:
     chosen[once] = True
     inside = np.repeat(chosen, size)
     head, member = np.repeat(node[start], size)[inside], node[inside]
-    g, own_key, wide = np.repeat(name, size)[inside].view(np.int64), key[inside].view(np.int64), np.repeat(size, size)[inside] > 2
+    g, wide = np.repeat(name, size)[inside].view(np.int64), np.repeat(size, size)[inside] > 2
     pairs = np.unique(np.stack([head, member], axis=1)[head != member], axis=0)
     out = np.concatenate([np.column_stack([np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64), pairs]),
-                          np.column_stack([np.ones(int(wide.sum()), np.int64), g[wide], own_key[wide], member[wide]])])
+                          np.column_stack([np.ones(int(wide.sum()), np.int64), g[wide], g[wide], member[wide]])])
     return pd.DataFrame(out, columns=["kind", "g", "a", "b"]).astype({"kind": "int32"})
 
 
@@ -276,58 +300,70 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets are similar enough."""
+def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose full sets are similar enough."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "rep")
+    sets = stored(rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("node", "text").mapInArrow(to_sets, "node bigint, shingles binary"), "sets")
     named = lambda key, value: sets.select(F.col("node").alias(key), F.col("shingles").alias(value))
-    return stored(pairs.join(named("b", "y"), "b").join(named("a", "x"), "a").mapInArrow(verify, "a bigint, b bigint"), "similar")
-
+    return stored(pairs.join(named("b", "y"), "b").join(named("a", "x"), "a").mapInArrow(verify, PAIR_DDL), "similar")
 
-def open_members(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members (g: group, a: key, used, done, b: member) of groups that still hold more than one
-    component, with component c and group size m."""
-    known = members.join(comp, members["b"] == comp["node"], "left").select(*members.columns, F.coalesce("component", "b").alias("c"))
-    state = known.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).filter("low < high").select("g", "m")
-    return known.join(state, "g")
 
+def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches do not rule the link out."""
+    for batch in batches:
+        good = []
+        for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "x", "y"))):
+            both = folded([x, y])
+            good.append(bool(may_link(both[:1], np.array([na]), both[1:], np.array([nb]))[0, 0]))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs of members of one group whose components differ."""
-    left = members.select("g", F.col("b").alias("a"), F.col("c").alias("ca"))
-    right = members.select("g", "b", F.col("c").alias("cb"))
-    return left.join(right, "g").filter("a < b AND ca <> cb").select("a", "b").distinct()
 
+def sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    named = lambda key, size, value: classes.select(F.col("node").alias(key), F.col("n").alias(size), F.col("sketch").alias(value))
+    return pairs.join(named("b", "nb", "y"), "b").join(named("a", "na", "x"), "a").mapInArrow(promising, PAIR_DDL)
 
-def refine(labels: list[Label], bounds: list[int]):
-    """Deal the members of large groups by one more subset each. A group whose label leaves no spare
-    agreement (or whose key is a deletion) stays as it is and is done."""
-    cuts = np.array(bounds)
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int64())
-
-    def split(g: int, key: int, used: list[int], node: int, tokens: np.ndarray) -> list[tuple]:
-        band = int(np.searchsorted(cuts, len(tokens), side="right")) - 1
-        base = mix(np.array([g], dtype=np.int64).view(np.uint64))
-        for k in (band, band + 1):
-            label = labels[k]
-            if label.doubles or label.spare <= len(used):
-                continue
-            _, _, size, names = subset_keys([tokens], [k], labels)
-            signed = names.view(np.int64)
-            taken = np.isin(signed, [*used, key])
-            if key in signed[taken]:
-                order = np.lexsort((names, -size))
-                order = order[~taken[order]][:differ(len(tokens) + partner_limit(len(tokens), label)) + 1]
-                fresh = mix(base + names[order]).view(np.int64)
-                return [(f, n, [*used, key], False, node) for f, n in zip(fresh.tolist(), signed[order].tolist())]
-        return [(int(base.view(np.int64)[0]), key, used, True, node)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for g, key, used, node, data in zip(*(batch.column(c).to_pylist() for c in ("g", "a", "used", "b", "shingles"))):
-                out += split(g, key, used, node, np.frombuffer(data, dtype=np.uint64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["g", "a", "used", "done", "b"])
-    return run
+def open_members(members: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (g, b) of groups that hold more than one component: component c, group size m, and
+    size and sketch of the set."""
+    known = members.join(comp, members["b"] == comp["node"], "left").select("g", "b", F.coalesce("component", "b").alias("c"))
+    state = known.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).filter("low < high").select("g", "m")
+    own = classes.select(F.col("node").alias("b"), "n", "sketch")
+    return known.join(state, "g").join(own, "b")
+
+
+def dealt(members: DataFrame, parts: int) -> DataFrame:
+    """Members with the tasks that compare them: small groups many to a task, a large group cut into
+    blocks, each pair of which is a task (side 0 against side 1; a block with itself has side 0)."""
+    blocks = F.ceil(F.col("m") / GROUP_BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("b"), blocks).cast("int")
+    pair = lambda j: F.struct(F.concat_ws(":", F.col("g").cast("string"), F.least(mine, j).cast("string"), F.greatest(mine, j).cast("string")).alias("task"),
+                              F.when(j < mine, 1).otherwise(0).alias("side"))
+    few = F.array(F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64("g"), F.lit(parts)).cast("string")).alias("task"), F.lit(0).alias("side")))
+    return members.withColumn("t", F.explode(F.when(blocks > 1, F.transform(F.sequence(F.lit(0), blocks - 1), pair)).otherwise(few))).select("t.*", "g", "b", "c", "n", "sketch")
+
+
+def compare(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different components in one group that sketches do not rule out."""
+    rows = rows.sort_values("g", kind="stable")
+    g = rows["g"].to_numpy()
+    starts = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
+    node, c, n, side = (rows[x].to_numpy() for x in ("b", "c", "n", "side"))
+    data, out = rows["sketch"].tolist(), []
+    for low, high in zip(starts, np.append(starts[1:], len(g))):
+        words = folded(data[low:high])
+        left = np.nonzero(side[low:high] == 0)[0]
+        right = np.nonzero(side[low:high] == 1)[0]
+        whole = not rows["task"].iloc[0].startswith("s") and rows["task"].iloc[0].split(":")[1] != rows["task"].iloc[0].split(":")[2]
+        right = right if whole else left
+        if not len(left) or not len(right):
+            continue
+        own_c, own_n, own = c[low:high], n[low:high], node[low:high]
+        a, b = np.nonzero(may_link(words[left], own_n[left], words[right], own_n[right]) & (own_c[left][:, None] != own_c[right][None, :]))
+        a, b = own[left[a]], own[right[b]]
+        out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return pd.DataFrame(pairs, columns=["a", "b"])
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -335,8 +371,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     told = stored(rows.mapInArrow(describe, DOC_DDL), "shingle-counts")
-    classes = stored(told.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node")
-                     .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "shingle-classes")
+    classes = stored(told.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "shingle-classes")
     largest, total = classes.agg(F.coalesce(F.max("n"), F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bounds = edges(largest)
     band = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("n"))) - 1
@@ -345,18 +381,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     entries = rows.filter("doc_id IS NOT NULL").select("text").mapInArrow(emit(labels, bounds, bits), ENTRY_DDL)
     found = stored(entries.groupBy("shard").applyInPandas(group, GROUP_DDL), "shingle-groups")
 
-    pairs = stored(found.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "rep")
-    sets = stored(rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("node", "text").mapInArrow(to_sets, "node bigint, shingles binary"), "sets")
-    links = verified(pairs, sets)
+    first = stored(sketched(found.filter("kind = 0").select("a", "b").distinct(), classes), "pairs")
+    links = verified(first, classes, rows)
     comp = components(links)
-    members = found.filter("kind = 1").select("g", "a", F.array().cast("array<bigint>").alias("used"), F.lit(False).alias("done"), "b").dropDuplicates(["g", "b"])
-    while not (left := stored(open_members(members, comp), "open-groups")).isEmpty():
-        wide = (F.col("m") > SMALL_GROUP) & ~F.col("done")
-        links = links.union(verified(cross_pairs(left.filter(~wide)), sets))
-        comp = components(links)
-        members = stored(left.filter(wide).join(sets, left["b"] == sets["node"]).select("g", "a", "used", "b", "shingles")
-                         .mapInArrow(refine(labels, bounds), MEMBER_DDL), "refined")
+    members = found.filter("kind = 1").select("g", "b").distinct()
+    rest = dealt(open_members(members, comp, classes), 4 * width(docs.sparkSession))
+    second = stored(rest.groupBy("task").applyInPandas(compare, PAIR_DDL).distinct(), "pairs")
+    comp = components(links.union(verified(second, classes, rows)))
     # Components are named by their smallest class; documents want the smallest id.
     named = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("least"))

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embedding_dedup, language_id, lm_scoring, mixing, ngram_join, quality_rules, token_counts, warc
+from . import bpe, cotraining, embedding_dedup, language_id, lm_scoring, mixing, ngram_join, quality_rules, token_counts, warc
 from .common import bucket, table
 
 
@@ -19,6 +19,13 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.link(table(spark, folder, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    model = cotraining.train(docs, table(spark, folder, "labels"))
+    told = cotraining.score(docs, model)
+    return told.select("doc_id", *[F.col(f"quality_view.{c}") for c in ("score", "text_score", "meta_score", "kept")])
+
+
 def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     told = lm_scoring.score(docs, train=bucket("doc_id", 7) != 2)
@@ -61,5 +68,5 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, PIECES).select("doc_id", "tokens.n_pretokens", "tokens.n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_lm_scoring, op4_bpe, op5_warc, op6_embedding_dedup, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_lm_scoring, op4_bpe, op5_warc, op6_embedding_dedup, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts)}
 ORACLES: dict[str, str] = {}
