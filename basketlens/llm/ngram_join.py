@@ -43,7 +43,8 @@ from .shingles import GAP, Hasher, mix, node_of
 SIZE = 5
 PERCENT = 80  # similarity 0.8
 BLOCK_SHINGLES = 1_500_000
-SHARD_ENTRIES = 1 << 20
+SHARD_ENTRIES = 1 << 22
+SMALL_SIDE = 1_000_000  # ids up to which those asked for are broadcast to the texts; more are joined by a shuffle
 GROUP_BLOCK = 512  # members of a group that one task compares with as many others
 
 DOC_DDL = "doc_id bigint, n_shingles bigint, node bigint, sketch binary"
@@ -302,7 +303,8 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "rep")
+    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "rep"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= SMALL_SIDE else wanted
     sets = stored(rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("node", "text").mapInArrow(to_sets, "node bigint, shingles binary"), "sets")
     named = lambda key, value: sets.select(F.col("node").alias(key), F.col("shingles").alias(value))
     return stored(pairs.join(named("b", "y"), "b").join(named("a", "x"), "a").mapInArrow(verify, PAIR_DDL), "similar")
