@@ -115,12 +115,12 @@ class Grams:
         size = lengths + 2  # with both marks
         self.starts = np.cumsum(size) - size
         self.sizes = size
-        text = np.empty(int(size.sum()), dtype=np.int64)
+        text = np.empty(int(size.sum()), dtype=np.int32)
         inner = np.ones(len(text), dtype=bool)
         inner[self.starts] = inner[self.starts + size - 1] = False
-        text[inner] = widen(row["tokens"], np.uint32).astype(np.int64) + FIRST
+        text[inner] = widen(row["tokens"], np.uint32).astype(np.int32) + FIRST
         text[self.starts], text[self.starts + size - 1] = START, END
-        self.offset = np.arange(len(text)) - np.repeat(self.starts, size)  # from the text's start mark
+        self.offset = (np.arange(len(text)) - np.repeat(self.starts, size)).astype(np.int32)  # from the text's start mark
         self.is_train = np.repeat(np.asarray(row["train"], dtype=bool), size)
         self.keys, self.counts, self.at = [], [], []
         before = None
@@ -132,7 +132,7 @@ class Grams:
             own ^= own >> np.uint64(32)
             there = self.offset >= level - 1
             keys, index = np.unique(own[there], return_inverse=True)
-            at = np.full(len(text), -1, dtype=np.int64)
+            at = np.full(len(text), -1, dtype=np.int32)
             at[there] = index
             self.keys.append(keys)
             self.at.append(at)
