@@ -36,12 +36,15 @@ def _shifted(x: Column, digits: int) -> Column:
     nearest = F.rint(product)
     off = product - nearest
     fixed = nearest + F.when(off * F.signum(error) == 0.5, off + off).otherwise(0.0)
-    return fixed.cast("bigint")
+    return fixed.try_cast("bigint")
 
 
 def plain(x: Column, digits: int = 0, grouping: str | None = None) -> Column:
-    """Unsigned decimal text of |x|."""
-    text = F.format_string(f"%0{digits + 1}d", _shifted(x, digits))
+    """Unsigned decimal text of |x|. What is too large to shift is a whole number already."""
+    shifted = _shifted(x, digits)
+    whole = F.abs(x.cast("double")).try_cast("decimal(38,0)").cast("string")
+    large = F.coalesce(F.concat(whole, F.lit("0" * digits)), F.concat(x.cast("string"), F.lit("0" * digits)))
+    text = F.when(shifted.isNull(), large).otherwise(F.format_string(f"%0{digits + 1}d", shifted))
     if digits:
         text = F.regexp_replace(text, rf"(\d{{{digits}}})$", ".$1")
     return F.regexp_replace(text, GROUPING[grouping], ",") if grouping else text
@@ -52,7 +55,8 @@ def _minus(x: Column) -> Column:
 
 
 def _shown(x: Column, text: Column) -> Column:
-    return F.when(x.isNull() | F.isnan(x.cast("double")), NOT_AVAILABLE).otherwise(text)
+    value = x.cast("double")
+    return F.when(x.isNull() | F.isnan(value) | (F.abs(value) == float("inf")), NOT_AVAILABLE).otherwise(text)
 
 
 def number(x: Column, digits: int = 0, style: str = "indian") -> Column:
@@ -99,7 +103,7 @@ def date_label(day: Column) -> Column:
 
 def mmss(seconds: Column) -> Column:
     """Minutes and seconds, fractions cut off: 3m 07s."""
-    whole = seconds.cast("bigint")
+    whole = seconds.try_cast("bigint")
     return F.when(whole.isNull(), NOT_AVAILABLE).otherwise(
         F.format_string("%dm %02ds", F.floor(whole / 60), F.pmod(whole, F.lit(60))))
 

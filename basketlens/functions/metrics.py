@@ -17,6 +17,12 @@ from .numbers import div0, money, percent
 
 bought = lambda: F.col("purchased") == 1
 
+
+def wide(name: str) -> Column:
+    """A whole number whose square still fits."""
+    return F.col(name).cast("bigint")
+
+
 ADDITIVE: dict[str, Callable[[], Column]] = {
     "sessions": lambda: F.count(F.lit(1)),
     "purchases": lambda: F.sum("purchased"),
@@ -34,9 +40,9 @@ ADDITIVE: dict[str, Callable[[], Column]] = {
     "seconds": lambda: F.sum("time_on_site_sec"),
     "pages": lambda: F.sum("pages_viewed"),
     # second moments of discount depth and purchase, for their correlation
-    "percent_sq": lambda: F.sum(F.col("discount_percent") * F.col("discount_percent")),
-    "percent_bought": lambda: F.sum(F.col("discount_percent") * F.col("purchased")),
-    "purchases_sq": lambda: F.sum(F.col("purchased") * F.col("purchased")),
+    "percent_sq": lambda: F.sum(wide("discount_percent") * wide("discount_percent")),
+    "percent_bought": lambda: F.sum(wide("discount_percent") * wide("purchased")),
+    "purchases_sq": lambda: F.sum(wide("purchased") * wide("purchased")),
     "top_revenue": lambda: F.max("revenue_cents"),
     "first_day": lambda: F.min("visit_date"),
     "last_day": lambda: F.max("visit_date"),

@@ -46,9 +46,14 @@ def to_int(text: Column) -> Column:
 
 
 def to_cents(text: Column) -> Column:
-    """Money text to whole cents."""
-    exact = F.when(text.rlike(NUMERIC_TEXT), F.trim(text).try_cast("decimal(18,2)"))
-    return (exact * F.lit(100)).cast("bigint")
+    """Money text to whole cents; null where unreadable or out of range."""
+    exact = F.when(text.rlike(NUMERIC_TEXT), F.trim(text).try_cast("decimal(38,2)"))
+    return F.try_multiply(exact, F.lit(100)).try_cast("bigint")
+
+
+def out_of_range(text: Column, typed: Column) -> Column:
+    """Is the text a number that its type cannot hold?"""
+    return typed.isNull() & text.rlike(NUMERIC_TEXT)
 
 
 def json_safe(df):

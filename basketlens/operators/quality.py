@@ -73,12 +73,22 @@ def quartiles(counts: DataFrame) -> DataFrame:
 
 
 def numeric_profile(counts: DataFrame) -> DataFrame:
-    """Min, max, exact mean and the number of readable values per numeric column."""
-    exact = F.trim("value").try_cast("decimal(28,6)")
+    """Min, max, mean and the number of readable values per numeric column.
+
+    Values that a decimal holds are summed exactly, in any order; the rest (very large, very
+    small) are added in double arithmetic, so that no value is left out of the sum.
+    """
+    decimal = F.trim("value").try_cast("decimal(28,6)")
+    times = F.col("n").cast("decimal(20,0)")
+    exact = F.when(decimal.cast("double") == F.col("num"), F.try_multiply(decimal, times))
+    rest = F.when(exact.isNull(), F.col("num") * F.col("n"))
+    every = F.sum(F.col("num") * F.col("n"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    total = F.when(F.count(exact) == 0, every).otherwise(F.coalesce(
+        F.try_sum(exact).cast("double") + zero(F.sum(rest)), every))
     return numeric_counts(counts).groupBy("name").agg(
         F.min("num").alias("min_num"), F.max("num").alias("max_num"),
-        div0(F.sum(exact * F.col("n").cast("decimal(10,0)")), F.sum("n")).alias("mean_num"),
-        F.sum("n").alias("size"))
+        div0(total, F.sum("n")).alias("mean_num"), F.sum("n").alias("size"))
 
 
 def fences(counts: DataFrame) -> DataFrame:
@@ -156,7 +166,7 @@ def rule_counts(clean: DataFrame) -> DataFrame:
         "zero_revenue_purchase": sold & (c("revenue_cents") == 0),
         "revenue_without_purchase": unsold & (c("revenue_cents") > 0),
         "discount_mismatch": F.expr(
-            "abs(discount_cents - (gross_cents * discount_percent + 50) div 100) > 2"),
+            "coalesce(abs(discount_cents - try_add(try_multiply(gross_cents, CAST(discount_percent AS BIGINT)), 50L) div 100) > 2, true)"),
         "purchase_without_cart": sold & (c("added_to_cart") == 0),
         "cart_not_ended_once": carted & (c("purchased") + c("cart_abandoned") != 1),
         "price_not_positive": c("unit_cents") <= 0,

@@ -188,6 +188,8 @@ QUERIES: dict[str, Query] = {
     "trend_auto": _trend_slice({}),
     "trend_auto_week": _trend_slice({"from": "1997-03-01", "to": "1997-09-30"}),
     "trend_auto_day": _trend_slice({"from": "1997-03-01", "to": "1997-04-05"}),
+    "trend_seg": _trend_slice({"seg": "high"}),
+    "group_category_seg": _on_sessions(lambda df: A.group(S.apply_slicers(df, {"seg": "high"}), "category", GROUP_METRICS)),
     "trend_events": lambda spark, folder: trend(event_sessions(spark, folder)),
     "discount_corr": _on_sessions(A.discount_correlation),
     # data quality
@@ -216,6 +218,7 @@ QUERIES: dict[str, Query] = {
     "page_conversion": _page("conversion"),
     "page_categories": _page("categories"),
     "page_overview_sliced": _page("overview", {"cat": "2", "from": "1997-03-01", "to": "1997-09-30"}),
+    "page_overview_seg": _page("overview", {"seg": "high"}),
     "page_empty": _page("overview", {"cat": "99"}),
     "findings": _on_sessions(pages.findings),
 }

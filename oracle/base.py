@@ -215,6 +215,12 @@ bs AS (SELECT customer_id, CASE WHEN rn<=CEIL(nb*CAST(0.2 AS DOUBLE)) THEN 'high
        WHEN rn<=CEIL(nb*CAST(0.2 AS DOUBLE))+CEIL(nb*CAST(0.3 AS DOUBLE)) THEN 'mid' ELSE 'core' END AS seg FROM bk)
 """
 
+# Sessions of the best fifth of the spenders, as a condition over sessions.
+HIGH = """customer_id IN (SELECT customer_id FROM (
+  SELECT customer_id, ROW_NUMBER() OVER (ORDER BY r DESC, customer_id) AS rn, COUNT(*) OVER () AS nb FROM (
+    SELECT customer_id, SUM(revenue_cents) AS r FROM sessions WHERE purchased=1 GROUP BY 1 HAVING SUM(revenue_cents)>0))
+  WHERE rn<=CEIL(nb*CAST(0.2 AS DOUBLE)))"""
+
 
 # --------------------------------------------------------------------------- display
 def indian(text: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import (DIMENSIONS, SESSIONS, big, dbl, metrics, pct, segmented, show)
+from .base import (HIGH, DIMENSIONS, SESSIONS, big, dbl, metrics, pct, segmented, show)
 
 
 def rows(page, section, kind, item, ord_, series, key, label, value, how, source):
@@ -213,6 +213,7 @@ REPORTS = {
     "page_conversion": _union(conversion()), "page_categories": _union(categories()),
     "page_overview_sliced": _union(overview(), grain="week", where=(
         "product_category=2 AND visit_date>=DATE '1997-03-01' AND visit_date<=DATE '1997-09-30'")),
+    "page_overview_seg": _union(overview(), where=HIGH),
     "page_empty": SESSIONS + f"SELECT 'overview' AS page, {EMPTY} WHERE (SELECT COUNT(*) FROM sessions WHERE product_category=99)=0",
     "findings": _union([*found("findings", 1, "never_purchased", "high_value", "repeat_rate"),
                         *found("findings", 2, "user_type_gap", "leading_categories", "duration_effect",

@@ -8,7 +8,7 @@ from basketlens.model import (NUMERIC_COLUMNS, SEASON_NAMES, SOURCE_COLUMNS,
                               WEEKDAY_NAMES, column_role, column_type)
 from basketlens.operators.quality import RULES
 
-from .base import (BUYER_SEGMENTS, CLEAN, DIMENSIONS, METRICS, RAW, SEASON_NAME, SESSIONS, TOTALS, big, dbl, grouped,
+from .base import (BUYER_SEGMENTS, CLEAN, DIMENSIONS, HIGH, METRICS, RAW, SEASON_NAME, SESSIONS, TOTALS, big, dbl, grouped,
                    indian, metrics, pct, rupees, segmented, show)
 
 # ------------------------------------------------------------------------- slices
@@ -257,6 +257,8 @@ TABLES = {
     "trend_day": trend("day"), "trend_week": trend("week"), "trend_month": trend("month"),
     "trend_auto": trend("month", TREND), "trend_auto_week": trend("week", TREND, SPRING_TO_AUTUMN),
     "trend_auto_day": trend("day", TREND, "visit_date>=DATE '1997-03-01' AND visit_date<=DATE '1997-04-05'"),
+    "trend_seg": trend("month", TREND, HIGH),
+    "group_category_seg": grouped("category", list(METRICS), source=f"(SELECT * FROM sessions WHERE {HIGH}) AS s"),
     "trend_events": trend("day", prefix=EVENTS, source="ev"),
     "discount_corr": SESSIONS + "SELECT ROUND(corr(discount_percent, purchased),6) AS pearson FROM sessions",
     "dq_profile_counts": LONG + "SELECT * FROM counts",
