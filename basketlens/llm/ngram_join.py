@@ -14,9 +14,10 @@ and chance agreements, fed with the number of sets per band.
 Sets with equal shingles are one class from the start. In a group that shares a signature every
 member is first paired with the group's smallest one, and the links found make components. Only
 pairs that lie in different components are then compared, in tasks of two blocks of members each,
-by parity sketches of the sets, which can rule a link out but never lose one; what they leave is
-verified on the full sets. Copies collapse in the first step, strangers that share a long passage
-fail in the second without their pairs ever becoming rows; no pair is dropped.
+by parity sketches of the sets, which can rule a link out but never lose one. Of what they leave,
+the closest pairs that could join components are verified on the full sets first, and all pairs
+that are still open last. Copies collapse in the first steps, strangers that share a long passage
+fail without their pairs ever becoming rows; no pair is dropped.
 
 Defined results: null or empty texts and texts without words have no shingles and link with
 nothing; fewer words than a shingle make one shingle of the whole text; similarity equal to the
@@ -188,11 +189,16 @@ def folded(sketches: list[bytes]) -> np.ndarray:
 
 def may_link(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Matrix of pairs that the sketches and sizes do not rule out."""
+    return distances(a, na, b, nb)[1]
+
+
+def distances(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices of the bits that differ, and of pairs that may link."""
     apart = np.zeros((len(a), len(b)), dtype=np.uint16 if a.shape[1] < 1000 else np.uint32)
     for k in range(a.shape[1]):
         apart += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
     total = na[:, None] + nb[None, :]
-    return (apart <= total * (100 - PERCENT) // (100 + PERCENT)) & (np.minimum(na[:, None], nb[None, :]) * 100 >= PERCENT * np.maximum(na[:, None], nb[None, :]))
+    return apart, (apart <= total * (100 - PERCENT) // (100 + PERCENT)) & (np.minimum(na[:, None], nb[None, :]) * 100 >= PERCENT * np.maximum(na[:, None], nb[None, :]))
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,27 +351,59 @@ def dealt(members: DataFrame, parts: int) -> DataFrame:
     return members.withColumn("t", F.explode(F.when(blocks > 1, F.transform(F.sequence(F.lit(0), blocks - 1), pair)).otherwise(few))).select("t.*", "g", "b", "c", "n", "sketch")
 
 
-def compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in one group that sketches do not rule out."""
-    rows = rows.sort_values("g", kind="stable")
-    g = rows["g"].to_numpy()
-    starts = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
-    node, c, n, side = (rows[x].to_numpy() for x in ("b", "c", "n", "side"))
-    data, out = rows["sketch"].tolist(), []
-    for low, high in zip(starts, np.append(starts[1:], len(g))):
-        words = folded(data[low:high])
-        left = np.nonzero(side[low:high] == 0)[0]
-        right = np.nonzero(side[low:high] == 1)[0]
-        whole = not rows["task"].iloc[0].startswith("s") and rows["task"].iloc[0].split(":")[1] != rows["task"].iloc[0].split(":")[2]
-        right = right if whole else left
-        if not len(left) or not len(right):
-            continue
-        own_c, own_n, own = c[low:high], n[low:high], node[low:high]
-        a, b = np.nonzero(may_link(words[left], own_n[left], words[right], own_n[right]) & (own_c[left][:, None] != own_c[right][None, :]))
-        a, b = own[left[a]], own[right[b]]
-        out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(pairs, columns=["a", "b"])
+def forest(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) of components join trees that no closer pair has joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    taken = np.zeros(len(a), dtype=bool)
+    open_ = len(np.unique(np.concatenate([a, b]))) - 1
+    for i in np.argsort(apart, kind="stable").tolist():
+        x, y = find(int(a[i])), find(int(b[i]))
+        if x != y:
+            root[x] = y
+            taken[i] = True
+            open_ -= 1
+            if not open_:
+                break
+    return taken
+
+
+def compare(every: bool):
+    """Pairs of different components in one group that sketches do not rule out: all, or only the
+    closest that would make one component of those that they connect."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("g", kind="stable")
+        task = rows["task"].iloc[0]
+        two_blocks = not task.startswith("s") and task.split(":")[1] != task.split(":")[2]
+        g = rows["g"].to_numpy()
+        starts = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
+        node, c, n, side = (rows[x].to_numpy() for x in ("b", "c", "n", "side"))
+        data, out = rows["sketch"].tolist(), []
+        for low, high in zip(starts, np.append(starts[1:], len(g))):
+            words = folded(data[low:high])
+            left = np.nonzero(side[low:high] == 0)[0]
+            right = np.nonzero(side[low:high] == 1)[0] if two_blocks else left
+            if not len(left) or not len(right):
+                continue
+            own_c, own_n, own = c[low:high], n[low:high], node[low:high]
+            apart, may = distances(words[left], own_n[left], words[right], own_n[right])
+            a, b = np.nonzero(may & (own_c[left][:, None] != own_c[right][None, :]))
+            if not len(a):
+                continue
+            if not every:
+                taken = forest(own_c[left[a]], own_c[right[b]], apart[a, b])
+                a, b = a[taken], b[taken]
+            a, b = own[left[a]], own[right[b]]
+            out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame(pairs, columns=["a", "b"])
+    return run
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -387,9 +425,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     links = verified(first, classes, rows)
     comp = components(links)
     members = found.filter("kind = 1").select("g", "b").distinct()
-    rest = dealt(open_members(members, comp, classes), 4 * width(docs.sparkSession))
-    second = stored(rest.groupBy("task").applyInPandas(compare, PAIR_DDL).distinct(), "pairs")
-    comp = components(links.union(verified(second, classes, rows)))
+    # Twice the closest pairs that could join components, then whatever is still open.
+    checked = first
+    for every in (False, False, True):
+        rest = dealt(open_members(members, comp, classes), 4 * width(docs.sparkSession))
+        more = rest.groupBy("task").applyInPandas(compare(every), PAIR_DDL).distinct()
+        more = stored(more.join(checked, ["a", "b"], "left_anti"), "pairs")
+        if not more.isEmpty():
+            checked = checked.union(more)
+            links = links.union(verified(more, classes, rows))
+            comp = components(links)
     # Components are named by their smallest class; documents want the smallest id.
     named = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("least"))
