@@ -25,7 +25,7 @@ CODE_LABELS = {
     "review_text": "Review code",
 }
 
-# Columns the header must have before a load may start.
+# Columns the header must have before a load may start.
 REQUIRED_COLUMNS = sorted([*CODE_LABELS, "visit_date", "revenue", "purchased"])
 
 # Season codes.
@@ -35,13 +35,14 @@ SEASON_NAMES = {
     0: "Autumn (Sep-Nov)",
     3: "Winter (Dec-Feb)",
 }
-SEASON_OF_MONTH = {m: s for s, ms in {1: (3, 4, 5), 2: (6, 7, 8), 0: (9, 10, 11), 3: (12, 1, 2)}.items()
-                   for m in ms}
+# Season code of each month, and names of the days, Monday first.
+SEASON_OF_MONTH = {1: 3, 2: 3, 3: 1, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2, 9: 0, 10: 0, 11: 0, 12: 3}
 WEEKDAY_NAMES = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 
 # Session-length buckets in reading order.
 DURATION_ORDER = ["Very Short", "Short", "Long", "Very Long"]
 
+# What the columns hold.
 FLOAT_COLUMNS = ["unit_price", "discount_amount", "revenue", "revenue_normalized"]
 TEXT_COLUMNS = ["visit_date", "session_duration_bucket"]
 INT_COLUMNS = [c for c in SOURCE_COLUMNS if c not in FLOAT_COLUMNS and c not in TEXT_COLUMNS]
@@ -54,24 +55,23 @@ NOT_NULL_CODES = ["customer_id", "product_id", "product_category", "payment_meth
                   "device_type", "user_type", "marketing_channel", "location"]
 
 
+# Fixed values: (type, role) of each column in the profile, where they are not those of a plain code.
+COLUMN_FACTS = {
+    **{c: ("integer", "code") for c in INT_COLUMNS},
+    **{c: ("integer", "encoded category (integer code)") for c in CODE_LABELS},
+    **{c: ("integer", "binary flag") for c in FLAGS},
+    **{c: ("float" if c in FLOAT_COLUMNS else "integer", "measure") for c in MEASURES},
+    "visit_date": ("date (text DD-MM-YYYY)", "temporal"),
+    "session_duration_bucket": ("text", "category"),
+}
+
+
 def column_type(name: str) -> str:
-    if name == "visit_date":
-        return "date (text DD-MM-YYYY)"
-    if name in FLOAT_COLUMNS:
-        return "float"
-    return "integer" if name in INT_COLUMNS else "text"
+    return COLUMN_FACTS.get(name, ("text", "category"))[0]
 
 
 def column_role(name: str) -> str:
-    if name in CODE_LABELS:
-        return "encoded category (integer code)"
-    if name == "visit_date":
-        return "temporal"
-    if name in MEASURES:
-        return "measure"
-    if name in FLAGS:
-        return "binary flag"
-    return "code" if name in INT_COLUMNS else "category"
+    return COLUMN_FACTS.get(name, ("text", "category"))[1]
 
 
 # Money is held in whole cents so that sums are exact in any shuffle order.

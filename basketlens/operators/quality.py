@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import case, div0, to_double
-from ..model import (NUMERIC_COLUMNS, SEASON_NAMES, SEASON_OF_MONTH, WEEKDAY_NAMES, column_role,
+from ..model import (CODE_LABELS, NUMERIC_COLUMNS, SEASON_NAMES, SEASON_OF_MONTH, WEEKDAY_NAMES, column_role,
                      column_type)
 from .ordering import split_in_order, values_at
 
@@ -155,7 +155,13 @@ def common_rating(clean: DataFrame) -> DataFrame:
 
 
 def rule_counts(clean: DataFrame) -> DataFrame:
-    """Offending rows per rule: one pass for row rules and ratings, one for repeated ids.
+    """Offending rows per rule."""
+    return _rule_pass(clean).filter(~F.contains("rule", F.lit(":")))
+
+
+def _rule_pass(clean: DataFrame) -> DataFrame:
+    """Offending rows per rule, and the ends of each code's range as rules low:code and high:code:
+    one pass for row rules, ratings and ranges, one for repeated ids.
 
     The first pass is grouped by rating and outcome (a handful of rows), so that the most
     common rating without a purchase falls out of it too.
@@ -172,15 +178,18 @@ def rule_counts(clean: DataFrame) -> DataFrame:
         "price_not_positive": c("unit_cents") <= 0,
     }
     counted = clean.groupBy("rating", unsold.alias("unsold")).agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(t).alias(name) for name, t in tests.items()])
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(t).alias(name) for name, t in tests.items()],
+        *[f(code).cast("bigint").alias(f"{end}:{code}") for code in CODES for end, f in ENDS.items()])
     zero = lambda x: F.coalesce(x, F.lit(0))
     one = counted.agg(
         *[zero(F.sum(n)).alias(n) for n in ["rows", *tests]],
+        *[f(f"`{end}:{code}`").alias(f"{end}:{code}") for code in CODES for end, f in ENDS.items()],
         F.max_by(F.struct("rows", "rating"), F.when(c("unsold"), F.struct(c("rows"), -c("rating"))))
         .alias("usual"))
     none = F.lit(None).cast("int")
+    ranges = [f"{end}:{code}" for code in CODES for end in ENDS]
     rows = one.select(F.stack(
-        F.lit(len(tests) + 2), *[p for n in ["rows", *tests] for p in (F.lit(n), c(n), none)],
+        F.lit(len(tests) + len(ranges) + 2), *[p for n in ["rows", *tests, *ranges] for p in (F.lit(n), c(f"`{n}`"), none)],
         F.lit("placeholder_rating"), c("usual.rows"), c("usual.rating")).alias("rule", "n", "value"))
     repeated = duplicate_sessions(clean).agg(
         F.lit("duplicate_session_id").alias("rule"), zero(F.sum(c("copies") - 1)).alias("n"),
@@ -206,7 +215,7 @@ RULES = {
                           "ok", "Discounts agree with price, quantity and percent",
                           "Checked for every row within two cents."),
     "purchase_without_cart": ("purchased", "{n} purchases skipped the cart",
-                              "Funnel stages are not strictly nested.", None, None, None),
+                              "A session can reach the purchase without the cart stage.", None, None, None),
     "cart_not_ended_once": ("cart_abandoned", "{n} carts were not ended exactly once",
                             "A cart should be either purchased or abandoned.",
                             "ok", "Every cart was purchased or abandoned",
@@ -215,14 +224,28 @@ RULES = {
                              "Only one row per session id enters the store.",
                              "ok", "Session ids are unique", "One row is one session."),
     "price_not_positive": ("unit_price", "{n} prices are zero or less",
-                           "They distort the average order value.", None, None, None),
+                           "Averages per order include such lines.", None, None, None),
 }
+# The codes of the fact table whose names the source does not tell.
+CODES = [c if c != "review_text" else "review_code" for c in CODE_LABELS]
+ENDS = {"low": F.min, "high": F.max}
 PLACEHOLDER_SHARE = 0.2
 
 
 def findings(clean: DataFrame) -> DataFrame:
-    """Severity, column, title, detail and count of everything worth saying."""
-    return findings_from(rule_counts(clean))
+    """Severity, column, title, detail and count of everything worth saying. The last one is always
+    there: codes have numbers but no names."""
+    passed = _rule_pass(clean).checkpoint()  # a few dozen rows
+    ends = F.split("rule", ":")
+    ranges = passed.filter(F.contains("rule", F.lit(":"))).groupBy(ends[1].alias("code")).agg(
+        F.max(F.when(ends[0] == "low", F.col("n"))).alias("low"), F.max(F.when(ends[0] == "high", F.col("n"))).alias("high"))
+    listed = F.array_join(F.sort_array(F.collect_list(F.concat_ws(
+        " ", "code", F.concat(F.col("low").cast("string"), F.lit("-"), F.col("high").cast("string"))))), ", ")
+    opaque = ranges.agg(listed.alias("ranges")).select(
+        F.lit(len(RULES) + 1).alias("ord"), F.lit("info").alias("severity"), F.lit("codes").alias("column"),
+        F.lit("Codes have no names").alias("title"), F.concat(F.lit("Only their ranges are known: "), "ranges").alias("detail"),
+        F.lit(len(CODES)).cast("bigint").alias("n"))
+    return findings_from(passed.filter(~F.contains("rule", F.lit(":")))).unionByName(opaque).orderBy("ord")
 
 
 def findings_from(counts: DataFrame) -> DataFrame:
@@ -261,9 +284,14 @@ def _key_values(one: DataFrame, facts: dict[str, Column]) -> DataFrame:
     return one.select(F.stack(F.lit(len(facts)), *parts).alias("key", "value"))
 
 
-def metadata(raw: DataFrame, parsed: DataFrame, clean: DataFrame) -> DataFrame:
-    """The metadata table of a load: facts, rejected and repeated rows, code tables, findings."""
+def metadata(raw: DataFrame, parsed: DataFrame, clean: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """The metadata table of a load: facts of the rows kept, rejected and repeated rows, code
+    tables, findings. ``kept`` is what was stored of the clean rows; without it, one row per id is."""
     spark = raw.sparkSession
+    lost = duplicate_sessions(clean).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n"))
+    again = _key_values(lost, {"repeated_rows": F.col("n")})
+    built = [] if kept is None else [_key_values(spark.range(1), {"built_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")})]
+    stored = clean.dropDuplicates(["session_id"]) if kept is None else kept
     unparsed = _key_values(parsed.agg(F.count_if(F.col("reason").isNotNull()).alias("n")),
                            {"unparsed_rows": F.col("n")})
     repeated = _key_values(duplicate_rows(raw), {"duplicate_rows": F.col("duplicate_rows")})
@@ -272,11 +300,11 @@ def metadata(raw: DataFrame, parsed: DataFrame, clean: DataFrame) -> DataFrame:
         "csv_columns": F.lit(len(raw.columns)),
         "weekday_mapping": as_json(dict(enumerate(WEEKDAY_NAMES))),
         "season_mapping": as_json(SEASON_NAMES)})
-    # At most one finding per rule: the list holds eight entries.
+    # At most one finding per rule: the list holds nine entries.
     said = findings(clean).agg(F.to_json(F.transform(
         F.sort_array(F.collect_list(F.struct("ord", "severity", "column", "title", "detail"))),
         lambda f: f.dropFields("ord"))).alias("findings"))
-    return reduce(DataFrame.unionByName, [dataset_facts(clean), unparsed, repeated, fixed,
+    return reduce(DataFrame.unionByName, [dataset_facts(stored), unparsed, again, repeated, fixed, *built,
                                           _key_values(said, {"findings": F.col("findings")})])
 
 

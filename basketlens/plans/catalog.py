@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -81,8 +82,7 @@ def _ingest_clean(clean: DataFrame) -> DataFrame:
 
 def _metadata(raw: DataFrame) -> DataFrame:
     parsed = cleaning.parse(raw)
-    # Titles and details of the findings are checked in dq_findings.
-    return Q.metadata(raw, parsed, cleaning.accepted(parsed)).filter(F.col("key") != "findings")
+    return Q.metadata(raw, parsed, cleaning.accepted(parsed))
 
 
 def _segments(df: DataFrame) -> DataFrame:
@@ -130,6 +130,30 @@ def _fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "digest")
 
 
+def _spoilt_store(spark: SparkSession, folder: str) -> str:
+    """A store built from CSV files of spoilt rows: two column orders, amounts and products out of
+    range, blank ids, and rows that occur twice."""
+    raw = raw_sessions(spark, folder)
+    key = F.col("session_id").try_cast("bigint")
+    spoilt = raw.withColumns({
+        "unit_price": F.when(key % 97 == 0, "1e40").otherwise(F.col("unit_price")),
+        "quantity": F.when(key % 89 == 1, "9000000000000000000").otherwise(F.col("quantity")),
+        "session_id": F.when(key % 83 == 2, "").otherwise(F.col("session_id"))})
+    home = f"{spark.sparkContext.getCheckpointDir()}/spoilt-{uuid.uuid4().hex}"
+    out = lambda df, name: df.write.option("header", True).option("emptyValue", "").csv(f"{home}/{name}")
+    out(spoilt, "first files")
+    out(spoilt.filter(key % 79 == 3).select(*reversed(raw.columns)), "other_order")
+    export.build_store(spark, [f"{home}/first files", f"{home}/other_order"], f"{home}/store")
+    return f"{home}/store"
+
+
+def _load_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows stored and rows set aside by reason; together all raw rows."""
+    here = _spoilt_store(spark, folder)
+    rejects = store.read_table(spark, here, "rejects").groupBy(F.col("reason").alias("ending")).agg(F.count(F.lit(1)).alias("n"))
+    return rejects.unionByName(store.stored_sessions(spark, here).agg(F.lit("stored").alias("ending"), F.count(F.lit(1)).alias("n")))
+
+
 def _trend_slice(args: dict[str, str]) -> Query:
     return _on_sessions(lambda df: trend(S.apply_slicers(df, args), pages.TREND_METRICS))
 
@@ -148,12 +172,13 @@ QUERIES: dict[str, Query] = {
     "ingest_clean": _on_clean(_ingest_clean),
     "ingest_store_rows": _on_clean(lambda c: _ingest_clean(cleaning.one_row_per_session(c))),
     "ingest_rejects": _on_raw(lambda raw: cleaning.rejected(cleaning.parse(raw))),
+    "load_balance": _load_balance,
     "meta_summary": _on_raw(_metadata),
     "store_status": _on_sessions(store.status),
     "source_fingerprint": _fingerprint,
     "export_totals": _on_sessions(export.summary),
     "export_segments": _on_sessions(_segments),
-    "export_json": _on_sessions(export.export),
+    "export_json": lambda spark, folder: export.export(sessions(spark, folder), source=export.provenance(spark, folder)),
     # totals, groups, options
     "totals": _on_sessions(A.totals),
     **GROUPS,

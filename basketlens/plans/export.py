@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.metrics import TOTALS
 from ..functions.numbers import json_safe
+from ..model import SESSION_SCHEMA
 from ..operators import customers as C
 from ..operators.aggregate import totals
 from ..operators.quality import metadata, profile
@@ -39,20 +40,41 @@ def export(df: DataFrame, args: dict | None = None, source: dict | None = None)
         F.struct(*TOTALS).alias("totals"), listed.alias("segments"))).alias("value"))
 
 
-def build_store(spark: SparkSession, csv_path: str, folder: str) -> None:
-    """CSV to store: clean and write the fact table, then profile and metadata."""
+def build_store(spark: SparkSession, csv_path: str | list[str], folder: str, multi_line: bool = True) -> None:
+    """CSV to store: clean and write the fact table, then profile and metadata, then publish."""
     prepare(spark)
-    raw = raw_csv.read_raw(spark, csv_path)
-    write_store(raw, folder)
-    store.write_table(raw_csv.fingerprint(spark, csv_path), folder, "source_files")
-
-
-def write_store(raw: DataFrame, folder: str) -> None:
-    """Parse the text once into a staged table; everything typed then reads only its columns."""
-    store.write_table(cleaning.parse(raw), folder, "parsed")
-    parsed = store.read_table(raw.sparkSession, folder, "parsed")
-    accepted = cleaning.accepted(parsed)
-    store.write_sessions(cleaning.one_row_per_session(accepted), folder)
-    store.write_table(cleaning.rejected(parsed), folder, "rejects")
-    store.write_table(profile(raw), folder, "dq_columns")
-    store.write_table(metadata(raw, parsed, accepted), folder, "meta")
+    files = raw_csv.fingerprint(spark, csv_path).checkpoint()
+    write_store(raw_csv.read_raw(spark, csv_path, files, multi_line), folder, files)
+
+
+def write_store(raw: DataFrame, folder: str, files: DataFrame | None = None) -> None:
+    """Load raw rows as a new version. Every raw row ends in ``sessions`` or in ``rejects``.
+
+    The text is parsed once into a staged table, whose row numbers tell equal rows apart;
+    everything typed then reads only its columns. Readers see the load when all of it is written.
+    """
+    spark, load = raw.sparkSession, store.new_version(folder)
+    texts = raw.select(*[c for c in raw.columns if c != raw_csv.BROKEN])
+    store.write_table(cleaning.parse(raw.withColumn(cleaning.ROW, F.monotonically_increasing_id())), load, "parsed")
+    parsed = spark.read.parquet(f"{load}/parsed")
+    judged = cleaning.quarantined(parsed)
+    store.write_sessions(cleaning.accepted(judged), load)
+    store.write_table(cleaning.rejected(judged), load, "rejects")
+    store.write_table(profile(texts), load, "dq_columns")
+    if files is not None:
+        store.write_table(files.drop("header"), load, "source_files")
+    kept = spark.read.schema(SESSION_SCHEMA).parquet(f"{load}/sessions")
+    store.write_table(metadata(texts, parsed, cleaning.accepted(parsed), kept), load, "meta")
+    store.publish(spark, folder, load)
+
+
+def provenance(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Where the current load came from: built when, rows kept and set aside, files, bytes and
+    digest. Empty for a folder without a load."""
+    if store.current(spark, folder) == folder:
+        return {}
+    meta = {r["key"]: r["value"] for r in store.read_table(spark, folder, "meta")
+            .filter(F.col("key").isin("rows", "unparsed_rows", "repeated_rows", "built_at")).collect()}
+    files = store.read_table(spark, folder, "source_files").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("digest")).alias("digest")).first()
+    return meta | {k: str(v) for k, v in files.asDict().items()}

@@ -8,12 +8,13 @@ value, display). A small aggregated frame is unfolded into all the rows it feeds
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cache, reduce
+from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.display import fmt_by
+from ..functions.display import fmt_by, rounded
 
 FIELDS = ["section_ord", "kind", "item", "ord", "series", "key", "label", "value", "how"]
 # (section, kind, item, ord, series, key, label, value, display kind); ord, key, label and value
@@ -87,11 +88,15 @@ def assemble(parts: Sequence[DataFrame]) -> DataFrame:
     aggregated rows, so one task does it without another shuffle."""
     page = reduce(DataFrame.unionByName, parts).coalesce(1)
     ordered = page.sortWithinPartitions("section_ord", "kind", "item", "ord", "series")
-    return ordered.select("page", *FIELDS[:7], F.round("value", 4).alias("value"),
-                          _display(id(SparkContext._gateway)).alias("display"))
+    return ordered.select("page", *FIELDS[:7], rounded(F.col("value"), 4).alias("value"),
+                          _display(page.sparkSession.sparkContext).alias("display"))
 
 
-@cache
-def _display(gateway: int) -> Column:
-    """The display expression, built once per JVM: it has a few hundred nodes."""
-    return fmt_by(F.col("how"), F.col("value"))
+_SHOWN: WeakKeyDictionary[SparkContext, Column] = WeakKeyDictionary()
+
+
+def _display(context: SparkContext) -> Column:
+    """The display expression, built once per context: it has a few hundred nodes."""
+    if context not in _SHOWN:
+        _SHOWN[context] = fmt_by(F.col("how"), F.col("value"))
+    return _SHOWN[context]

@@ -22,15 +22,21 @@ from ..operators.trend import bucket_key, finish_trend, fitting_granularity
 from ..session import literal, prepare
 from . import frames
 
+# Captions of the tiles, here and in the pages below, and the note of an empty page.
 NO_ROWS = "No rows match these filters"
 TREND_METRICS = ["revenue", "sessions", "purchases", "conversion"]
 
 
+# Rows of a cube up to which one task folds it.
+SMALL_CUBE = 100_000
+
+
 class Cube:
     """Additive base aggregates over some dimensions of the sliced sessions.
 
-    Checkpointed in one piece: it holds one row per combination of codes shown on a page, and
-    everything folded from it then runs without a shuffle.
+    It holds one row per combination of codes shown on a page. While that is a small number it is
+    brought together, and everything folded from it runs without a shuffle; a cube that free codes
+    or texts made large stays distributed.
     """
 
     def __init__(self, df: DataFrame, dims: Iterable[str], metrics: Iterable[str], by_time: bool = False):
@@ -42,7 +48,8 @@ class Cube:
                 "_bucket", bucket_key(F.col("_unit"), F.col("visit_date")))
             keys |= {"granularity": F.col("_unit"), "bucket": F.col("_bucket")}
             needs |= {"first_day"}
-        self.rows = base_aggregates(df, keys, needs).repartition(1).checkpoint().coalesce(1)
+        cube = base_aggregates(df, keys, needs).checkpoint()
+        self.rows = cube.coalesce(1) if cube.count() <= SMALL_CUBE else cube
 
     def empty(self) -> bool:
         return self.rows.isEmpty()

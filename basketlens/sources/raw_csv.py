@@ -1,47 +1,83 @@
-"""Raw CSV input: every column read as text, header checked, bytes fingerprinted."""
+"""Raw CSV input: every column read as text, by each file's own header, bytes fingerprinted."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import csv
 
-from ..model import REQUIRED_COLUMNS
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..model import REQUIRED_COLUMNS, SOURCE_COLUMNS
+
+BROKEN = "_broken"  # text of a row whose number of fields differs from its header's
+MAX_HEADERS = 100  # different headers in one load; more is a mistake in the input
 
-def check_header(df: DataFrame) -> DataFrame:
-    missing = sorted(set(REQUIRED_COLUMNS) - set(df.columns))
-    if missing:
-        raise ValueError(f"unexpected header, missing columns: {missing}")
-    return df
 
+def check_header(columns: list[str], file: str = "") -> list[str]:
+    missing = sorted(set(REQUIRED_COLUMNS) - set(columns))
+    if missing:
+        raise ValueError(f"unexpected header, missing columns: {missing} {file}".rstrip())
+    return columns
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All-text scan of a headed CSV; blanks stay blank text rather than null."""
-    df = (spark.read.option("header", True).option("encoding", "UTF-8")
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .csv(path))
-    return check_header(df.na.fill(""))
 
+def fingerprint(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per source file: path, bytes, digest and header line.
 
-# Files up to this size are hashed whole; a SHA-256 cannot be computed in pieces.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
+    One definition for files of any size: the number of lines, and sum and xor of the hashes of
+    (line number, line). Line numbers come from the number of lines in each split before, so the
+    digest tells reordered lines apart and does not depend on how the file was split. Empty files
+    have no row.
+    """
+    files = (spark.read.format("binaryFile").load(path)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    splits = lines.groupBy("path", "start").agg(
+        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min_by("value", "at").alias("line"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per split of a file.
+    offsets = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    number = F.col("offset") + F.col("at") - F.col("first")
+    hashed = lines.select("path", "start", "at", F.xxhash64("value").alias("h")).join(offsets, ["path", "start"])
+    line = F.xxhash64(number, "h")
+    digests = hashed.groupBy("path").agg(
+        F.concat_ws(":", F.count(F.lit(1)), F.sum(line.cast("decimal(28,0)")).cast("string"), F.bit_xor(line)).alias("digest"),
+        F.min_by("line", "start").alias("header"))
+    return (files.join(digests, "path", "left")
+            .select("path", "bytes", F.coalesce("digest", F.lit("0:0:0")).alias("digest"),
+                    F.regexp_replace(F.coalesce("header", F.lit("")), "^﻿", "").alias("header")))
 
 
-def fingerprint(spark: SparkSession, path: str, whole_up_to: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """One row per source file: path, bytes and digest.
+def read_raw(spark: SparkSession, path: str | list[str], files: DataFrame | None = None, multi_line: bool = True) -> DataFrame:
+    """All-text rows in the order of SOURCE_COLUMNS; blanks stay blank text rather than null.
 
-    Larger files never enter a task whole: their digest is the number of lines and the
-    order-independent combination of the line hashes, taken from splits of the file.
+    Files are read in groups of equal headers and lined up by column name. Doubled quotes and, with
+    ``multi_line``, quoted line breaks are understood; then a file is read by one task, so without
+    quoted line breaks large files should be read with ``multi_line=False``. A row with too few or
+    too many fields keeps its text in column BROKEN.
     """
-    files = spark.read.format("binaryFile").load(path)
-    fits = F.col("length") <= whole_up_to
-    small = files.filter(fits).select("path", F.col("length").alias("bytes"),
-                                      F.sha2("content", 256).alias("digest"))
-    large = files.filter(~fits).select("path", F.col("length").alias("bytes"))
-    if large.isEmpty():
-        return small
-    line = F.xxhash64("value")
-    # Sum and xor combine in any order; the sum has room for 10^19 lines.
-    lines = spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.concat_ws(":", F.lit("lines"), F.count(F.lit(1)), F.sum(line.cast("decimal(28,0)")).cast("string"),
-                    F.bit_xor(line)).alias("digest"))
-    return small.unionByName(large.join(lines, large["path"] == lines["file"]).select("path", "bytes", "digest"))
+    files = fingerprint(spark, path) if files is None else files
+    groups = files.filter("bytes > 0").groupBy("header").agg(F.collect_list("path").alias("paths")).limit(MAX_HEADERS + 1).collect()
+    if len(groups) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers")
+    out = None
+    for header, paths in groups:
+        names = check_header(next(csv.reader([header])), paths[0])
+        schema = ", ".join(f"`{n}` string" for n in [*names, BROKEN])
+        rows = (spark.read.schema(schema).option("header", True).option("encoding", "UTF-8")
+                .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+                .option("columnNameOfCorruptRecord", BROKEN)
+                .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+                .csv([unescaped(p) for p in paths]))
+        texts = [(F.coalesce(f"`{c}`", F.lit("")) if c in names else F.lit("")).alias(c) for c in SOURCE_COLUMNS]
+        part = rows.select(*texts, BROKEN)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError(f"no file with a header under {path}")
+    return out
+
+
+def unescaped(path: str) -> str:
+    """The path that a URI names, as the readers take it."""
+    from urllib.parse import unquote
+    return unquote(path)

@@ -6,7 +6,6 @@ import json
 
 from basketlens.model import (NUMERIC_COLUMNS, SEASON_NAMES, SOURCE_COLUMNS,
                               WEEKDAY_NAMES, column_role, column_type)
-from basketlens.operators.quality import RULES
 
 from .base import (BUYER_SEGMENTS, CLEAN, DIMENSIONS, HIGH, METRICS, RAW, SEASON_NAME, SESSIONS, TOTALS, big, dbl, grouped,
                    indian, metrics, pct, rupees, segmented, show)
@@ -121,6 +120,9 @@ def _json(mapping) -> str:
 
 DUPLICATE_ROWS = "(SELECT COUNT(*) FROM raw) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw))"
 META = facts("clean", "day") | {
+    "rows": "(SELECT COUNT(DISTINCT session_id) FROM clean)",
+    "repeated_rows": "(SELECT COUNT(*)-COUNT(DISTINCT session_id) FROM clean)",
+    "findings": """(SELECT to_json(list({'severity': severity, 'column': "column", 'title': title, 'detail': detail} ORDER BY ord)) FROM said)""",
     "unparsed_rows": "(SELECT COUNT(*) FROM typed WHERE day IS NULL)", "duplicate_rows": f"({DUPLICATE_ROWS})",
     "csv_columns": "29", "weekday_mapping": _json(dict(enumerate(WEEKDAY_NAMES))), "season_mapping": _json(SEASON_NAMES)}
 
@@ -180,16 +182,41 @@ def _quoted(text):
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
 
+# The texts a reader must see, written out here on their own.
+RULES = {
+    "zero_revenue_purchase": ("revenue", "{n} purchases carry no revenue",
+                              "They count as purchases, so they lower the average order value.", None, None, None),
+    "revenue_without_purchase": ("revenue", "{n} sessions without a purchase carry revenue",
+                                 "Revenue belongs to completed purchases only.", "info", "No revenue outside purchases",
+                                 "Revenue averages are taken over purchases, not over sessions."),
+    "placeholder_rating": ("rating", "{n} sessions without a purchase are rated {value}",
+                           "The rating is a placeholder there; rating metrics use purchases only.", None, None, None),
+    "discount_mismatch": ("discount_amount", "{n} discounts differ from price, quantity and percent",
+                          "The two discount fields are more than two cents apart.", "ok",
+                          "Discounts agree with price, quantity and percent", "Checked for every row within two cents."),
+    "purchase_without_cart": ("purchased", "{n} purchases skipped the cart",
+                              "A session can reach the purchase without the cart stage.", None, None, None),
+    "cart_not_ended_once": ("cart_abandoned", "{n} carts were not ended exactly once",
+                            "A cart should be either purchased or abandoned.", "ok", "Every cart was purchased or abandoned",
+                            "The funnel adds up."),
+    "duplicate_session_id": ("session_id", "{n} repeated session ids", "Only one row per session id enters the store.",
+                             "ok", "Session ids are unique", "One row is one session."),
+    "price_not_positive": ("unit_price", "{n} prices are zero or less", "Averages per order include such lines.", None, None, None),
+}
+CODES = ["device_type", "location", "marketing_channel", "payment_method", "product_category", "review_code", "user_type"]
+RANGES = " || ', ' || ".join(f"(SELECT '{c} ' || MIN({c}) || '-' || MAX({c}) FROM clean)" for c in CODES)
 TEXTS = ", ".join(f"({i},'{rule}',{', '.join(_quoted(t) for t in texts)})"
                   for i, (rule, texts) in enumerate(RULES.items(), 1))
 FINDINGS = RULE_COUNTS + f""",
 texts AS (SELECT * FROM (VALUES {TEXTS}) AS x(ord, rule, col, bad_title, bad_detail, good_severity, good_title, good_detail)),
 judged AS (SELECT *, CASE WHEN rule='placeholder_rating' THEN n>(SELECT n FROM rules WHERE rule='rows')*0.2 ELSE n>0 END AS broken
-  FROM rules JOIN texts USING (rule))
-SELECT CAST(ord AS INT) AS ord, CASE WHEN broken THEN 'warning' ELSE good_severity END AS severity, col AS "column",
+  FROM rules JOIN texts USING (rule)),
+said AS (SELECT CAST(ord AS INT) AS ord, CASE WHEN broken THEN 'warning' ELSE good_severity END AS severity, col AS "column",
   CASE WHEN broken THEN replace(replace(bad_title,'{{n}}',format('{{:,}}',n)),'{{value}}',COALESCE(CAST(value AS VARCHAR),'')) ELSE good_title END AS title,
   CASE WHEN broken THEN bad_detail ELSE good_detail END AS detail, n
-FROM judged WHERE broken OR good_severity IS NOT NULL"""
+FROM judged WHERE broken OR good_severity IS NOT NULL
+UNION ALL SELECT 9, 'info', 'codes', 'Codes have no names', 'Only their ranges are known: ' || {RANGES}, {len(CODES)})
+"""
 
 # ------------------------------------------------------------------------ display
 KINDS = {"sessions": "count", "customers": "count", "purchases": "count", "buyers": "count", "revenue": "inr",
@@ -224,7 +251,14 @@ TABLES = {
     "ingest_clean": CLEAN + CLEAN_COLUMNS + " FROM clean",
     "ingest_store_rows": CLEAN + CLEAN_COLUMNS.replace("SELECT", "SELECT DISTINCT", 1) + " FROM clean",
     "ingest_rejects": CLEAN + "SELECT session_id, raw_date AS visit_date, 'unparseable visit_date' AS reason FROM typed WHERE day IS NULL",
-    "meta_summary": CLEAN + key_values(META),
+    "load_balance": CLEAN + f""", twice AS (SELECT *, session_id AS k FROM typed UNION ALL SELECT *, session_id FROM typed WHERE session_id%79=3),
+        judged AS (SELECT k, CASE WHEN day IS NULL THEN 'unparseable visit_date' WHEN k%97=0 THEN 'out of range unit_price'
+            WHEN k%89=1 AND abs(unit_cents)>1 THEN 'out of range gross_value' ELSE 'stored' END AS ending FROM twice),
+        kept AS (SELECT k, k%83=2 AS blank, COUNT(*) AS n FROM judged WHERE ending='stored' GROUP BY 1)
+        SELECT ending, {big('COUNT(*)')} AS n FROM judged WHERE ending<>'stored' GROUP BY 1
+        UNION ALL SELECT 'stored', {big('SUM(CASE WHEN blank THEN n ELSE 1 END)')} FROM kept
+        UNION ALL SELECT 'repeated session_id', {big('SUM(n-1)')} FROM kept WHERE NOT blank HAVING SUM(n-1)>0""",
+    "meta_summary": FINDINGS + key_values(META),
     "store_status": SESSIONS + f"SELECT {big('COUNT(*)')} AS rows, CAST(40 AS BIGINT) AS columns, COUNT(*)>0 AS ready FROM sessions",
     "export_totals": SESSIONS + f"SELECT COUNT(*)>0 AS ready, {metrics(TOTALS, True)} FROM sessions",
     "export_segments": SEGMENTS + "SELECT * FROM segments",
@@ -268,7 +302,7 @@ TABLES = {
     "dq_top_values": LONG + "SELECT * FROM top3",
     "dq_columns": PROFILE,
     "dq_rules": RULE_COUNTS + "SELECT * FROM rules",
-    "dq_findings": FINDINGS,
+    "dq_findings": FINDINGS + "SELECT * FROM said",
     "dq_duplicates": CLEAN + f"SELECT session_id, {big('COUNT(*)')} AS copies FROM clean GROUP BY 1 HAVING COUNT(*)>1",
     "dq_duplicate_rows": RAW + f"SELECT {big(DUPLICATE_ROWS)} AS duplicate_rows",
     "dq_facts": SESSIONS + key_values(facts("sessions")),

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketlens.model import SOURCE_COLUMNS
 from basketlens.plans import export, pages
@@ -25,7 +26,7 @@ def write_csv(path, *rows):
 
 def test_lenient_cleaning(spark, tmp_path):
     raw = raw_csv.read_raw(spark, write_csv(tmp_path / "a.csv", {}))
-    assert raw.columns == SOURCE_COLUMNS
+    assert raw.columns == [*SOURCE_COLUMNS, raw_csv.BROKEN]
     r = cleaning.accepted(cleaning.parse(raw)).first()
     assert (r.unit_cents, r.quantity, r.gross_cents, r.discount_cents) == (1234, 2, 2468, 247)
     assert (r.pages_viewed, r.time_on_site_sec, r.duration_bucket, r.review_code) == (0, 0, "Unknown", 0)
@@ -53,6 +54,58 @@ def test_header_must_be_complete(spark, tmp_path):
         raw_csv.read_raw(spark, str(tmp_path / "b.csv"))
 
 
+def test_numbers_out_of_range_are_rejected_with_their_row(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", {"unit_price": "99999999999999999999"}, {"session_id": "2", "quantity": "9000000000000000000"},
+                     {"session_id": "3", "pages_viewed": "99999999999"}, {"session_id": "4", "customer_id": "1e300"},
+                     {"session_id": "5", "unit_price": "99999999999999999.00", "quantity": "0"})
+    raw = raw_csv.read_raw(spark, path).withColumn("row_no", F.monotonically_increasing_id())
+    got = {r.session_id: (r.reason, r.raw) for r in cleaning.rejected(cleaning.parse(raw)).collect()}
+    assert {k: v[0] for k, v in got.items()} == {
+        1: "out of range unit_price", 2: "out of range gross_value", 3: "out of range pages_viewed", 4: "out of range customer_id",
+        5: "out of range unit_price"}
+    assert json.loads(got[1][1])["unit_price"] == "99999999999999999999"
+
+
+def test_files_keep_their_own_header(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write_csv(tmp_path / "in" / "a b.csv", {}, {"session_id": "2", "session_duration_bucket": '"a ""long"" one\nof two lines"'})
+    other = [c for c in reversed(SOURCE_COLUMNS) if c != "visit_day"]
+    rows = [LINE | {"session_id": "3"}, LINE | {"session_id": "4"}]
+    lines = [",".join(other), ",".join(rows[0][c] for c in other), ",".join(rows[1][c] for c in other) + ",surplus", "too,few"]
+    (tmp_path / "in" / "c%20d.csv").write_text("\n".join(lines) + "\n")
+    export.build_store(spark, str(tmp_path / "in"), str(tmp_path / "store"))
+    stored = {r.session_id: r for r in store.stored_sessions(spark, str(tmp_path / "store")).collect()}
+    assert set(stored) == {1, 2, 3} and {r.customer_id for r in stored.values()} == {7} and {r.location for r in stored.values()} == {9}
+    assert stored[2].duration_bucket == 'a "long" one\nof two lines'
+    rejects = store.read_table(spark, str(tmp_path / "store"), "rejects").collect()
+    assert {r.reason for r in rejects} == {"malformed row"} and len(rejects) == 2 and any("surplus" in r.raw for r in rejects)
+    assert store.read_table(spark, str(tmp_path / "store"), "source_files").count() == 2
+
+
+def test_no_row_is_lost(spark, tmp_path):
+    path = write_csv(tmp_path / "a.csv", {}, {}, {"revenue": "5"}, {"session_id": ""}, {"session_id": ""}, {"session_id": "9", "visit_date": ""})
+    here = str(tmp_path / "store")
+    export.build_store(spark, path, here)
+    stored, rejects = store.stored_sessions(spark, here), store.read_table(spark, here, "rejects")
+    assert stored.count() == 3 and stored.select("session_id").distinct().count() == 3
+    assert sorted(r.reason for r in rejects.collect()) == ["repeated session_id", "repeated session_id", "unparseable visit_date"]
+    meta = {r.key: r.value for r in store.read_table(spark, here, "meta").collect()}
+    assert (meta["rows"], meta["repeated_rows"], meta["unparsed_rows"]) == ("3", "2", "1") and meta["built_at"].startswith("20")
+    assert export.provenance(spark, here) | {"rows": "3", "files": "1"} == export.provenance(spark, here)
+
+
+def test_a_failing_load_leaves_the_old_store(spark, tmp_path, monkeypatch):
+    here, path = str(tmp_path / "store"), write_csv(tmp_path / "a.csv", {})
+    export.build_store(spark, path, here)
+    monkeypatch.setattr(export, "metadata", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        export.build_store(spark, write_csv(tmp_path / "b.csv", {}, {"session_id": "2"}), here)
+    assert store.stored_sessions(spark, here).count() == 1
+    monkeypatch.undo()
+    export.build_store(spark, str(tmp_path / "b.csv"), here)
+    assert store.stored_sessions(spark, here).count() == 2
+
+
 def test_build_and_reopen(spark, tmp_path, folder):
     raw = raw_sessions(spark, folder)
     raw.write.option("header", True).option("emptyValue", "").csv(str(tmp_path / "csv"))
@@ -60,23 +113,29 @@ def test_build_and_reopen(spark, tmp_path, folder):
     here = str(tmp_path / "store")
     stored = store.stored_sessions(spark, here)
     meta = {r.key: r.value for r in store.read_table(spark, here, "meta").collect()}
-    assert int(meta["rows"]) + int(meta["unparsed_rows"]) == raw.count()
-    assert stored.count() == stored.select("session_id").distinct().count()
-    assert len(json.loads(meta["findings"])) >= 4
+    assert int(meta["rows"]) == stored.count() == stored.select("session_id").distinct().count()
+    assert int(meta["rows"]) + int(meta["unparsed_rows"]) + int(meta["repeated_rows"]) == raw.count()
+    assert len(json.loads(meta["findings"])) >= 5
     assert store.read_table(spark, here, "dq_columns").count() == 29
-    assert store.read_table(spark, here, "rejects").count() == int(meta["unparsed_rows"])
-    assert store.read_table(spark, here, "source_files").filter("length(digest) = 64").count() > 0
+    assert store.read_table(spark, here, "rejects").count() == int(meta["unparsed_rows"]) + int(meta["repeated_rows"])
     assert store.status(stored).first().ready
     assert pages.conversion(stored).count() > 40
 
 
-def test_large_files_are_fingerprinted_in_splits(spark, tmp_path):
-    for name, lines in (("a", "x\ny\n"), ("b", "y\nx\n"), ("c", "x\nx\n")):
-        (tmp_path / f"{name}.csv").write_text(lines * 100)
-    got = {r.path[-5]: r.digest for r in raw_csv.fingerprint(spark, str(tmp_path), whole_up_to=10).collect()}
-    assert got["a"] == got["b"] != got["c"] and got["a"].startswith("lines:200:")
-    whole = {r.digest for r in raw_csv.fingerprint(spark, str(tmp_path)).collect()}
-    assert len(whole) == 3 and all(len(d) == 64 for d in whole)
+def test_fingerprint_sees_order_and_not_splits(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    for name, lines in (("a b", "x\ny\n"), ("b", "y\nx\n"), ("c", "x\nx\n"), ("d", "")):
+        (tmp_path / "f" / f"{name}.csv").write_text(lines * 3000)
+    take = lambda: {r.path.rpartition("/")[2]: (r.bytes, r.digest) for r in raw_csv.fingerprint(spark, str(tmp_path / "f")).collect()}
+    whole = take()
+    # A file without bytes has nothing to fingerprint; Spark does not list it.
+    assert set(whole) == {"a%20b.csv", "b.csv", "c.csv"} and len({d for _, d in whole.values()}) == 3
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        assert take() == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_missing_store_is_none_but_other_errors_surface(spark, tmp_path):

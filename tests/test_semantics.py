@@ -199,3 +199,41 @@ def test_display_matches_exact_decimal_rounding(spark):
     (lambda: D.number(F.lit(float("nan"))), "n/a"), (lambda: D.fmt(F.lit(22.464), "pct2"), "22.46%")])
 def test_display_examples(spark, make_text, text):
     assert spark.range(1).select(make_text()).first()[0] == text
+
+
+def test_large_values_do_not_abort(spark, make):
+    df = make([row(1, 1, 1, 100, discount_percent=60000), row(2, 2, discount_percent=1)])
+    assert A.discount_correlation(df).count() == 1
+    assert A.overall(df, ["discount_corr"] if "discount_corr" in METRICS else ["revenue"]).count() == 1
+    values = spark.sql("SELECT * FROM VALUES (1e19D), (double('Infinity')), (double('NaN')), (-3e25D), (1e300D), (1.5D) AS t(x)")
+    shown = [tuple(r) for r in values.select(*[D.fmt(F.col("x"), k) for k in D.KINDS[:-1]]).collect()]
+    assert all(None not in r for r in shown) and set(shown[1]) == set(shown[2]) == {"n/a"}
+    assert D.number and values.select(D.number(F.col("x"), 0, "west")).first()[0] == "10,000,000,000,000,000,000"
+
+
+def test_profile_mean_of_any_size(spark):
+    from basketlens.operators.quality import numeric_profile
+    counts = spark.sql("SELECT 'a' AS name, x AS value, n, CAST(x AS DOUBLE) AS num FROM VALUES ('4e-7', 20000000000L), ('1e30', 20000000000L) AS t(x, n)")
+    assert numeric_profile(counts).first().mean_num == pytest.approx(5e29)
+    small = spark.sql("SELECT 'a' AS name, x AS value, n, CAST(x AS DOUBLE) AS num FROM VALUES ('0.1', 3L), ('0.2', 1L), ('4e-7', 1L) AS t(x, n)")
+    assert numeric_profile(small).first().mean_num == pytest.approx((0.5 + 4e-7) / 5)
+
+
+def test_a_dimension_of_ones_own(make):
+    from basketlens.functions.dimensions import DIMENSIONS, register_dimension
+    register_dimension("parity", lambda: F.col("product_id") % 2, lambda k: F.concat(F.lit("p"), k.cast("string")))
+    try:
+        got = {r.label: r.sessions for r in A.group(make([row(1, 1), row(2, 2, product_id=2), row(3, 3, product_id=3)]), "parity", ["sessions"]).collect()}
+        assert got == {"p0": 1, "p1": 2}
+    finally:
+        del DIMENSIONS["parity"]
+
+
+def test_large_cubes_stay_distributed(make, monkeypatch):
+    from basketlens.plans import pages
+    monkeypatch.setattr(pages, "SMALL_CUBE", 3)
+    df = make([row(i, i, 1, 100, duration_bucket=f"text {i % 40}", product_category=i % 7) for i in range(300)])
+    few, many = pages.PAGES["conversion"](df), None
+    monkeypatch.undo()
+    many = pages.PAGES["conversion"](df)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
