@@ -33,9 +33,9 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from .common import ready, structs
 
-MAX_LABELLED = 4000
-MAX_UNLABELLED = 3000
-TEXT_BITS = 12  # size of the hashed text features
+MAX_LABELLED = 2500
+MAX_UNLABELLED = 1500
+TEXT_BITS = 11  # size of the hashed text features
 META_BITS = 8  # size of the hashed source and language features
 ROUNDS = 4
 SHARE = 0.05  # of the unlabelled sample that a view labels in each round
@@ -105,7 +105,9 @@ class Logistic:
 
     def fit(self, x: np.ndarray, y: np.ndarray, trust: np.ndarray | None = None) -> Logistic:
         self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0.02)
-        z = np.clip((x - self.mean) / self.scale, -5, 5)
+        z = (x - self.mean).astype(np.float32)
+        z /= self.scale
+        np.clip(z, -5, 5, out=z)
         weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * (1 if trust is None else trust)
         weight = weight / weight.sum()
         self.w, self.b = np.zeros(x.shape[1], dtype=np.float32), 0.0
@@ -217,6 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     if not (y == 0).any() or not (y == 1).any():
         return None
     views = [np.frombuffer(b"".join(told[c].to_pylist()), dtype=np.float32).reshape(len(y), -1) for c in ("a", "b")]
+    del told
     # The order in which Spark delivers rows must not matter: sort by content.
     order = np.lexsort((views[0].sum(axis=1), views[1].sum(axis=1), y))
     y, views = y[order], [v[order] for v in views]
