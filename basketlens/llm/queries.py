@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, cotraining, embedding_dedup, language_id, lm_scoring, mixing, ngram_join, quality_rules, token_counts, warc
 from .common import bucket, table
+from .sql import ORACLES  # noqa: F401  (registered beside the queries)
 
 
 # Places of the vocabulary files; a cluster sets them where its driver keeps its copies.
@@ -69,4 +70,3 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_lm_scoring, op4_bpe, op5_warc, op6_embedding_dedup, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts)}
-ORACLES: dict[str, str] = {}
