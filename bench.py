@@ -24,9 +24,9 @@ from basketlens.sources.tables import adapt_orders  # noqa: E402
 
 HEADLINE = [
     "totals", "group_category", "group_date", "group_product", "options_loc", "slice_combo",
-    "slice_batch", "seg_semi_high", "seg_anti_window", "segments", "segment_assign", "freq_hist",
+    "slice_batch", "seg_semi_high", "seg_anti_window", "group_category_seg", "trend_seg", "segments", "segment_assign", "freq_hist",
     "funnel", "trend_month", "trend_auto", "top_products", "dq_facts", "export_json",
-    "page_overview", "page_customers", "page_conversion", "page_categories", "findings",
+    "page_overview", "page_overview_seg", "page_customers", "page_conversion", "page_categories", "findings",
 ]
 FROM_RAW = ["totals", "group_category", "segments", "trend_month", "seg_semi_high",
             "ingest_clean", "dq_findings", "dq_columns"]
@@ -46,6 +46,7 @@ def main() -> None:
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.checkpoint.dir", f"{scratch}/checkpoints")
+             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)

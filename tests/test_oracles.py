@@ -79,3 +79,18 @@ def test_top_values_are_limited_before_the_shuffle(spark, sessions):
     from basketlens.operators.quality import top_values
     counts = spark.sql("SELECT IF(id % 2 = 0, 'a', 'b') AS name, CAST(id AS STRING) AS value, id AS n FROM range(100)")
     assert re.search(r"WindowGroupLimit.*Partial", _plan(top_values(counts)))
+
+
+def test_a_segment_slice_is_joined_once(spark, sessions):
+    from basketlens.operators.slicers import apply_slicers
+    for segment in ("high", "window"):
+        plan = _plan(apply_slicers(sessions, {"seg": segment}))
+        assert "Join" not in plan and "ExistingRDD" in plan
+
+
+def test_a_batch_of_slices_multiplies_no_rows(spark, sessions):
+    from basketlens.operators.slicers import masked_bases, masks
+    from pyspark.sql import functions as F
+    marked = sessions.withColumns(masks({"a": F.col("product_category") == 1, "b": F.col("purchased") == 1}))
+    plan = _plan(masked_bases(marked, ["a", "b"], {"sessions", "customers"}))
+    assert all("HashAggregate" in part for part in plan.split("Generate explode")[1:])
