@@ -44,7 +44,7 @@ from .shingles import GAP, Hasher, mix, node_of
 SIZE = 5
 PERCENT = 80  # similarity 0.8
 BLOCK_SHINGLES = 1_500_000
-SHARD_ENTRIES = 1 << 22
+SHARD_ENTRIES = 1 << 20
 SMALL_SIDE = 1_000_000  # ids up to which those asked for are broadcast to the texts; more are joined by a shuffle
 GROUP_BLOCK = 512  # members of a group that one task compares with as many others
 
@@ -249,7 +249,9 @@ def group(rows: pd.DataFrame) -> pd.DataFrame:
     for k, n, at in zip(rows["keys"], rows["nodes"], rows["at"]):
         keys.append(unpack_keys(k))
         nodes.append(np.frombuffer(n, dtype=np.int64)[widen(at, np.uint32)])
-    return grouped(np.concatenate(keys), np.concatenate(nodes))
+    key, node = np.concatenate(keys), np.concatenate(nodes)
+    del keys, nodes
+    return grouped(key, node)
 
 
 def grouped(key: np.ndarray, node: np.ndarray) -> pd.DataFrame:

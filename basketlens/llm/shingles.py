@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Shingle sets of texts; word hashes are kept for the task."""
 
-    def __init__(self, size: int = 5, cached: int = 300_000):
+    def __init__(self, size: int = 5, cached: int = 100_000):
         self.size, self.cached, self.known = size, cached, {}
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
