@@ -37,9 +37,9 @@ HEAPS = (4.0, 0.9)
 # Numbers of the end and of the start mark, odd multipliers of the n-gram hash.
 END, START, FIRST = 0, 1, 2
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-BLOCK = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
+BLOCK = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.string())), ("train", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
                    ("words", pa.binary()), ("tokens", pa.binary())])
-BLOCK_DDL = "block string, ids array<bigint>, train array<boolean>, lengths array<int>, words binary, tokens binary"
+BLOCK_DDL = "block string, ids array<string>, train array<boolean>, lengths array<int>, words binary, tokens binary"
 ENTRY_DDL = "level int, shard int, block string, keys binary, counts binary"
 TOTAL_DDL = "block string, level int, keys binary, counts binary, v bigint, n bigint, n1 bigint, n2 bigint"
 SCORE_DDL = "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -78,7 +78,7 @@ class Builder:
     def add(self, key: int | None, train: bool, text: bytes) -> None:
         numbers = self.numbers
         own = [numbers.setdefault(w, len(numbers)) for w in text.translate(LOWER).split()]
-        self.ids.append(key)
+        self.ids.append("" if key is None else str(key))  # pandas would make floats of numbers with nulls
         self.train.append(train)
         self.lengths.append(len(own))
         self.tokens.append(np.array(own, dtype=np.uint32))
@@ -244,7 +244,7 @@ def scorer(order: int, sums: tuple[int, int, int, int]):
         read = grams.offset >= 1
         word = grams.at[0]
         add = lambda x: np.add.reduceat(np.where(read, x, 0), grams.starts)
-        return pd.DataFrame({"id": pd.array([None if i is None else int(i) for i in row["ids"]], dtype="Int64"), "train": list(row["train"]),
+        return pd.DataFrame({"id": pd.array([int(i) if i else None for i in row["ids"]], dtype="Int64"), "train": list(row["train"]),
                              "n_tokens": grams.sizes - 1, "n_known": add((grams.counts[0][word] > 0).astype(np.int64)),
                              "base_score": add(model.base[word]), "score": add(model.weights())}, columns=names)
     return run

