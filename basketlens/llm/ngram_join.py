@@ -43,7 +43,7 @@ from .shingles import GAP, Hasher, mix, node_of
 
 SIZE = 5
 PERCENT = 80  # similarity 0.8
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 600_000
 SHARD_ENTRIES = 1 << 20
 SMALL_SIDE = 1_000_000  # ids up to which those asked for are broadcast to the texts; more are joined by a shuffle
 GROUP_BLOCK = 512  # members of a group that one task compares with as many others
