@@ -3,9 +3,13 @@
 Exact copies are first collapsed to one vector with a count. Centres are fitted on a bounded
 sample; every vector has a home cell, the centre of greatest cosine. Two similar vectors may have
 different homes, so a vector also visits each lower-numbered cell whose boundary with its home is
-nearer than ``margin``. With margin sqrt(1 - threshold^2) no pair can be missed; the default is
-``Z`` standard deviations of the distance between two vectors at the threshold along one
-direction, which finds nearly all pairs (recall is measured in the tests). A cell is cut into
+nearer than ``margin``. With margin sqrt(1 - threshold^2) no pair can be missed. The default is
+measured: about ``QUERIES`` vectors picked by hash are compared with all rows, and each link found
+tells the margin it needs; the largest is taken, and never less than ``Z`` standard deviations of
+the distance between two vectors at the threshold along one direction. Another vector's links need
+more with a chance of one in the number of queries. If fewer than ``LINKED`` queries have links,
+more are asked, and in the end the margin is sqrt(1 - threshold^2). In a table of at most
+``QUERIES`` distinct vectors every vector is asked, so no link is lost. A cell is cut into
 blocks, and a task compares two blocks by one matrix product in double precision, so a cell that
 holds a third of all vectors is many tasks. A task returns a row per vector (its number of links,
 and one link that spans its local component), never pairs.
@@ -35,6 +39,9 @@ PER_CELL = 64  # distinct vectors per cell aimed at
 BLOCK = 256
 ROUNDS = 6
 Z = 2.0
+QUERIES = 4096  # vectors compared with all rows to measure the margin, about
+MAX_QUERIES = 65536
+LINKED = 100  # of them with links, at least; else more are asked
 TASK_DDL = "task string, side int, id bigint, n bigint, vector array<double>"
 LINK_DDL = "id bigint, links bigint, other bigint"
 
@@ -61,7 +68,7 @@ def fit(points: np.ndarray, cells: int, seed: int = 1) -> np.ndarray:
     picked = np.random.default_rng(seed).permutation(len(points))[:cells]
     centres = points[picked]
     for _ in range(ROUNDS):
-        home = np.concatenate([np.argmax(points[i:i + 4096] @ centres.T, axis=1) for i in range(0, len(points), 4096)])
+        home = homes_of(points, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, home, points)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -69,6 +76,10 @@ def fit(points: np.ndarray, cells: int, seed: int = 1) -> np.ndarray:
     return centres
 
 
+def homes_of(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmax(points[i:i + 4096] @ centres.T, axis=1) for i in range(0, len(points), 4096)])
+
+
 def homes(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cos = points @ centres.T
     return cos, np.argmax(cos, axis=1)
@@ -87,6 +98,51 @@ def batches_of(batch: pa.RecordBatch, size: int) -> Iterator[tuple[list, list, n
             yield part["id"], part["n"], unit(part["vector"], size)
 
 
+def needed(shared, size: int, threshold: float):
+    """The largest margin that the links of each query that has links need, among the rows of a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, keys, queries, home_q = shared.value
+        gaps = np.maximum(np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)), 1e-12)
+        most = np.full(len(keys), -1.0)
+        for batch in batches:
+            for ids, _, points in batches_of(batch, size):
+                cos, home = homes(points, centres)
+                near = cos[np.arange(len(home)), home]
+                for i in range(0, len(keys), 1024):
+                    q, at = queries[i:i + 1024], home_q[i:i + 1024]
+                    linked = (q @ points.T >= threshold) & (keys[i:i + 1024, None] != np.array(ids)[None, :])
+                    some = linked.any(axis=1)
+                    if not some.any():
+                        continue
+                    q, at, linked = q[some], at[some], linked[some]
+                    # The one of the higher cell is the visitor.
+                    away = np.where(at[:, None] > home, (q * centres[at]).sum(axis=1)[:, None] - q @ centres[home].T, near - cos[:, at].T) / gaps[at][:, home]
+                    need = np.where(linked, np.where(at[:, None] == home, 0.0, np.maximum(away, 0.0)), -1.0).max(axis=1)
+                    most[i:i + 1024][some] = np.maximum(most[i:i + 1024][some], need)
+        found = np.nonzero(most >= 0)[0]
+        yield pa.RecordBatch.from_pydict({"query": pa.array(keys[found], pa.int64()), "need": pa.array(most[found], pa.float64())})
+    return run
+
+
+def measured_margin(classes: DataFrame, place: Column, count: int, size: int, centres: np.ndarray, threshold: float) -> float:
+    """Margin that every link of the queries needs at most; sqrt(1 - threshold^2) if too few have links."""
+    spark = classes.sparkSession
+    wanted = QUERIES
+    while True:
+        asked = classes.filter(place >= 1 - min(1.0, wanted / count)).select("id", "vector").toArrow()
+        if asked.num_rows:
+            queries = unit(asked["vector"].to_pylist(), size)
+            shared = spark.sparkContext.broadcast((centres, np.array(asked["id"].to_pylist(), dtype=np.int64), queries, homes_of(queries, centres)))  # at most MAX_QUERIES vectors, about
+            linked, most = (classes.mapInArrow(needed(shared, size, threshold), "query bigint, need double").groupBy("query").agg(F.max("need").alias("need"))
+                            .agg(F.count("*"), F.coalesce(F.max("need"), F.lit(0.0))).first())
+            shared.unpersist()
+            if linked >= LINKED or wanted >= count:
+                return most + 1e-9  # products of other shapes round otherwise
+        if wanted >= MAX_QUERIES:
+            return math.sqrt(1 - threshold * threshold)
+        wanted *= 4
+
+
 def cell_sizes(shared, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, margin = shared.value
@@ -167,7 +223,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = classes.filter(place < min(1.0, SAMPLE / count)).select("vector").toArrow()["vector"].to_pylist()
     centres = fit(unit(sample, size), cells) if sample else np.eye(1, size)
-    margin = Z * math.sqrt(2 - 2 * threshold) / math.sqrt(size) if margin is None else margin
+    if margin is None:
+        # One cell has no boundary.
+        margin = max(Z * math.sqrt(2 - 2 * threshold) / math.sqrt(size), measured_margin(classes, place, count, size, centres, threshold) if len(centres) > 1 else 0.0)
     margin = min(margin, math.sqrt(1 - threshold * threshold))
     shared = spark.sparkContext.broadcast((centres, margin))  # at most MAX_CELLS vectors
     sizes = classes.mapInArrow(cell_sizes(shared, size), "cell bigint, own bigint, guests bigint").groupBy("cell").agg(F.sum("own"), F.sum("guests")).collect()

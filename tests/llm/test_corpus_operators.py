@@ -209,6 +209,33 @@ def test_embeddings_recall_and_components(spark):
     assert embedding_dedup.near_duplicates(df.filter("vec_id BETWEEN 9001 AND 9006")).count() == 6
 
 
+@pytest.mark.parametrize("kind", ["decaying", "rank 4"])
+@pytest.mark.parametrize("count", [2000, 8000])
+def test_embeddings_recall_along_few_directions(spark, monkeypatch, kind, count):
+    monkeypatch.setattr(embedding_dedup, "QUERIES", 1000)
+    random = np.random.default_rng(3)
+    spread = 1 / np.arange(1, 65) if kind == "decaying" else np.concatenate([np.ones(4), np.full(60, 0.02)])
+    points = random.normal(size=(count, 64)) * spread
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(points.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    rows = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    found = np.array([rows[i] for i in range(count)])
+    assert (found <= true).all() and true.sum() > count and found.sum() >= 0.999 * true.sum() and (found == true).mean() >= 0.99
+
+
+def test_embeddings_with_few_links_take_the_exact_margin(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "QUERIES", 50)
+    monkeypatch.setattr(embedding_dedup, "MAX_QUERIES", 200)
+    random = np.random.default_rng(4)
+    points = random.normal(size=(600, 64))
+    points[1::60] = points[::60] + 0.04 * points[30::60] * np.linalg.norm(points[::60], axis=1, keepdims=True) / np.sqrt(8)
+    vectors = [(i, p) for i, p in enumerate(points.tolist())]
+    rows = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    count = Counter(x for link in brute_links(vectors) for x in link)
+    assert rows == {k: count[k] for k in rows}
+
+
 def test_blocks_of_one_large_cell(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     random = np.random.default_rng(2)
