@@ -3,7 +3,8 @@
 Model. Tokens are words [^ \\t-\\r]+ with A-Z lower-cased, and one end per text. Words seen in
 training share the mass left by an absolute discount; the discounted mass is the one unknown
 event's. A longer context h of count c interpolates: P(w|h) = (1-l) c(hw)/c + l P(w|shorter h),
-l = T/(c+T), T = a c^b, the expected number of different followers (Heaps' law). Compiled, an
+l = T/(c+T), T the number of different followers of h in training (Witten-Bell), counted over the
+whole corpus with ``heaps=None``; with ``heaps=(a, b)`` the estimate a c^b stands in. Compiled, an
 n-gram that was seen is an arc with log10 P(w|h); a context has a failure arc to its shorter
 context with log10 l. A text is read left to right: the state is the longest context that was
 seen; where it has no arc for the word, failure arcs are followed and their weights added.
@@ -12,7 +13,9 @@ Scale. Texts become blocks of bounded size, written once: local word numbers and
 (64 bits). Each block sends the hash and training count of each of its distinct n-grams to a shard
 of the hash space; a shard adds them up and sends back only what other blocks changed. A block thus
 holds exactly the part of the automaton that its texts can reach, whatever the corpus; nothing is
-pruned, nothing is broadcast but four sums. A frequent n-gram is one entry per block, so no key is
+pruned, nothing is broadcast but four sums. Followers are counted in the same way: a shard names for each
+distinct n-gram one of its blocks, which adds one to the n-gram's context; blocks send what they
+have for each context to a shard by the context's hash, and get the sums back. A frequent n-gram is one entry per block, so no key is
 hot. Number and size of shards follow from the number of tokens.
 
 Defined results: a null or empty text is one token, the end; a null id is kept; without training
@@ -41,7 +44,8 @@ BLOCK = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.string())), ("tra
                    ("words", pa.binary()), ("tokens", pa.binary())])
 BLOCK_DDL = "block string, ids array<string>, train array<boolean>, lengths array<int>, words binary, tokens binary"
 ENTRY_DDL = "level int, shard int, block string, keys binary, counts binary"
-TOTAL_DDL = "block string, level int, keys binary, counts binary, v bigint, n bigint, n1 bigint, n2 bigint"
+TOTAL_DDL = "block string, level int, shard int, keys binary, counts binary, firsts binary, v bigint, n bigint, n1 bigint, n2 bigint"
+FOLLOW_DDL = "block string, level int, shard int, counts binary"
 SCORE_DDL = "id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -147,6 +151,20 @@ def start_key() -> np.uint64:
         return key ^ (key >> np.uint64(32))
 
 
+def shard_cuts(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Ends of the shards' parts of sorted keys, the last shard's left out."""
+    return np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
+
+
+def heads(grams: Grams, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and shorter form of each n-gram of level k + 1, as indices of level k: one position of
+    each n-gram shows them."""
+    there = np.nonzero(grams.at[k] >= 0)[0]
+    first = np.empty(len(grams.keys[k]), dtype=np.int64)
+    first[grams.at[k][there]] = there
+    return grams.at[k - 1][first - 1], grams.at[k - 1][first]
+
+
 def shard_bits(entries: int) -> int:
     return max(0, int(np.ceil(np.log2(max(1, entries) / SHARD_ENTRIES))))
 
@@ -158,7 +176,7 @@ def to_shards(order: int, bits: int):
                 grams = Grams(row, order)
                 out = []
                 for level, (keys, counts) in enumerate(zip(grams.keys, grams.counts), 1):
-                    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+                    cuts = shard_cuts(keys, bits)
                     for shard, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts))):
                         if len(k):
                             out.append((level, shard, row["block"], pack_keys(k), squeeze(c)))
@@ -168,30 +186,67 @@ def to_shards(order: int, bits: int):
 
 
 def add_up(rows: pd.DataFrame) -> pd.DataFrame:
-    """Totals of a shard, for each block those that differ from its own counts; and its sums."""
-    level = int(rows["level"].iloc[0])
+    """Totals of a shard, for each block those that differ from its own counts, and which n-grams seen
+    in training it is the first block of (bits, in the order of its own keys); and the shard's sums."""
+    level, shard = int(rows["level"].iloc[0]), int(rows["shard"].iloc[0])
     keys = [unpack_keys(k) for k in rows["keys"]]
     counts = [widen(c, np.int64) for c in rows["counts"]]
     distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.zeros(len(distinct), dtype=np.int64)
     np.add.at(totals, index, np.concatenate(counts))
-    out, start = [], 0
+    out, start, free = [], 0, totals > 0
     for block, own_keys, own in zip(rows["block"], keys, counts):
-        mine = totals[index[start:start + len(own)]]
+        at = index[start:start + len(own)]
+        mine, firsts = totals[at], free[at]
+        free[at] = False
         start += len(own)
         changed = mine != own
-        if changed.any():
-            out.append((block, level, pack_keys(own_keys[changed]), squeeze(mine[changed]), 0, 0, 0, 0))
+        told = level > 1 and firsts.any()
+        if changed.any() or told:
+            some = (pack_keys(own_keys[changed]), squeeze(mine[changed])) if changed.any() else (None, None)
+            out.append((block, level, shard, *some, squeeze(np.packbits(firsts)) if told else None, 0, 0, 0, 0))
     known = totals[(totals > 0) & (distinct != start_key())] if level == 1 else totals[:0]
-    out.append((None, level, None, None, len(known), int(known.sum()), int((known == 1).sum()), int((known == 2).sum())))
+    out.append((None, level, shard, None, None, None, len(known), int(known.sum()), int((known == 1).sum()), int((known == 2).sum())))
     return pd.DataFrame(out, columns=[c.split()[0] for c in TOTAL_DDL.split(", ")])
 
 
+def to_contexts(order: int, bits: int):
+    """For each context of a block how many n-grams continue it whose first block this is."""
+    def run(blocks: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in ENTRY_DDL.split(", ")]
+        if not len(blocks):
+            return pd.DataFrame(columns=names)
+        grams, out = Grams(blocks.iloc[0], order), []
+        for k in range(1, order):
+            firsts = np.zeros(len(grams.keys[k]), dtype=bool)
+            ends = [0, *shard_cuts(grams.keys[k], bits), len(firsts)]
+            for level, shard, data in zip(totals["level"], totals["shard"], totals["firsts"]):
+                if level == k + 1:
+                    firsts[ends[shard]:ends[shard + 1]] = np.unpackbits(widen(data, np.uint8), count=ends[shard + 1] - ends[shard])
+            counts = np.bincount(heads(grams, k)[0][firsts], minlength=len(grams.keys[k - 1])).astype(np.int64)
+            cuts = shard_cuts(grams.keys[k - 1], bits)
+            out += [(k, shard, blocks["block"].iloc[0], pack_keys(keys), squeeze(own))
+                    for shard, (keys, own) in enumerate(zip(np.split(grams.keys[k - 1], cuts), np.split(counts, cuts))) if len(keys)]
+        return pd.DataFrame(out, columns=names)
+    return run
+
+
+def add_followers(rows: pd.DataFrame) -> pd.DataFrame:
+    """Followers of a shard's contexts, for each block those of its own, in the order of its keys."""
+    level, shard = int(rows["level"].iloc[0]), int(rows["shard"].iloc[0])
+    keys = [unpack_keys(k) for k in rows["keys"]]
+    distinct, index = np.unique(np.concatenate(keys), return_inverse=True)
+    totals = np.zeros(len(distinct), dtype=np.int64)
+    np.add.at(totals, index, np.concatenate([widen(c, np.int64) for c in rows["counts"]]))
+    parts = np.split(totals[index], np.cumsum([len(k) for k in keys])[:-1])
+    return pd.DataFrame([(b, level, shard, squeeze(p)) for b, p in zip(rows["block"], parts)], columns=[c.split()[0] for c in FOLLOW_DDL.split(", ")])
+
+
 class Automaton:
     """The part of the model that one block can reach. States are contexts; arcs and failure arcs
     hold log10 weights, index by index of the block's n-grams."""
 
-    def __init__(self, grams: Grams, v: int, n: int, n1: int, n2: int, heaps: tuple[float, float] = HEAPS):
+    def __init__(self, grams: Grams, v: int, n: int, n1: int, n2: int, followers: list[np.ndarray] | None = None, heaps: tuple[float, float] = HEAPS):
         self.g = grams
         c = grams.counts
         discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -201,13 +256,9 @@ class Automaton:
         self.arc, self.fail = [np.log10(seen)], []
         for k in range(1, grams.order):
             context = c[k - 1].astype(np.float64)
-            types = heaps[0] * context ** heaps[1]
+            types = followers[k - 1] if followers is not None else heaps[0] * context ** heaps[1]
             share = np.where(context > 0, types / np.maximum(context + types, 1e-300), 1.0)
-            # One position of each n-gram shows its context and its shorter form.
-            there = np.nonzero(grams.at[k] >= 0)[0]
-            first = np.empty(len(grams.keys[k]), dtype=np.int64)
-            first[grams.at[k][there]] = there
-            head, tail = grams.at[k - 1][first - 1], grams.at[k - 1][first]
+            head, tail = heads(grams, k)
             inner = (1 - share[head]) * c[k] / np.maximum(context[head], 1) + share[head] * below[tail]
             self.arc.append(np.log10(np.maximum(inner, 1e-300)))
             self.fail.append(np.log10(share))
@@ -231,16 +282,21 @@ class Automaton:
         return total
 
 
-def scorer(order: int, sums: tuple[int, int, int, int]):
+def scorer(order: int, bits: int, sums: tuple[int, int, int, int], heaps: tuple[float, float] | None):
     def run(blocks: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in SCORE_DDL.split(", ")]
         if not len(blocks):
             return pd.DataFrame(columns=names)
         row = blocks.iloc[0]
         grams = Grams(row, order)
-        for level, keys, counts in zip(totals["level"], totals["keys"], totals["counts"]):
-            grams.counts[level - 1][np.searchsorted(grams.keys[level - 1], unpack_keys(keys))] = widen(counts, np.int64)
-        model = Automaton(grams, *sums)
+        followers = [np.zeros(len(k), dtype=np.float64) for k in grams.keys[:-1]]
+        for level, shard, keys, counts in zip(totals["level"], totals["shard"], totals["keys"], totals["counts"]):
+            if keys is not None:
+                grams.counts[level - 1][np.searchsorted(grams.keys[level - 1], unpack_keys(keys))] = widen(counts, np.int64)
+            else:
+                ends = [0, *shard_cuts(grams.keys[level - 1], bits), len(grams.keys[level - 1])]
+                followers[level - 1][ends[shard]:ends[shard + 1]] = widen(counts, np.int64)
+        model = Automaton(grams, *sums, followers) if heaps is None else Automaton(grams, *sums, heaps=heaps)
         read = grams.offset >= 1
         word = grams.at[0]
         add = lambda x: np.add.reduceat(np.where(read, x, 0), grams.starts)
@@ -250,9 +306,10 @@ def scorer(order: int, sums: tuple[int, int, int, int]):
     return run
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", order: int = 2,
+          heaps: tuple[float, float] | None = HEAPS) -> DataFrame:
     """A row per text: ``id, train, n_tokens, n_known, train_tokens, base_score, score``. ``train``
-    says which rows are learnt from."""
+    says which rows are learnt from. Followers are counted if ``heaps`` is None, else estimated."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).cast("string").alias("text"))
     blocks = stored(rows.mapInArrow(build_blocks, BLOCK_DDL), "lm-blocks")
@@ -261,5 +318,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text: str = "t
     entries = blocks.mapInArrow(to_shards(order, bits), ENTRY_DDL)
     totals = stored(entries.groupBy("level", "shard").applyInPandas(add_up, TOTAL_DDL), "lm-totals")
     sums = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n", "n1", "n2")]).first()
-    told = blocks.groupBy("block").cogroup(totals.filter("block IS NOT NULL").select("block", "level", "keys", "counts").groupBy("block")).applyInPandas(scorer(order, tuple(sums)), SCORE_DDL)
+    known = totals.filter("keys IS NOT NULL").select("block", "level", "shard", "keys", "counts")
+    if heaps is None and order > 1:
+        firsts = totals.filter("firsts IS NOT NULL").select("block", "level", "shard", "firsts")
+        contexts = blocks.groupBy("block").cogroup(firsts.groupBy("block")).applyInPandas(to_contexts(order, bits), ENTRY_DDL)
+        followers = contexts.groupBy("level", "shard").applyInPandas(add_followers, FOLLOW_DDL)
+        known = known.union(followers.select("block", "level", "shard", F.lit(None).cast("binary").alias("keys"), "counts"))
+    told = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(scorer(order, bits, tuple(sums), heaps), SCORE_DDL)
     return told.withColumn("train_tokens", F.lit(sums[1]).cast("bigint"))

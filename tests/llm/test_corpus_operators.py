@@ -138,6 +138,35 @@ def test_lm_is_the_formula(docs, texts, order):
         assert r.train == (r.id not in held)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_counts_followers(spark, monkeypatch, order):
+    monkeypatch.setattr(lm_scoring, "SHARD_ENTRIES", 64)  # several shards
+    random = np.random.default_rng(5)
+    texts = {i: "of course " * 30 + " ".join(f"w{int(x)}" for x in random.zipf(1.5, 40) if x < 50) for i in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    tokens = {k: [None, *t.split(), "\n"] for k, t in texts.items()}
+    grams = Counter(tuple(x[i - n + 1:i + 1]) for k, x in tokens.items() if k % 5 for n in (1, 2, 3) for i in range(len(x)) if i >= n - 1)
+    single = Counter({g[0]: c for g, c in grams.items() if len(g) == 1 and g[0] is not None})
+    total, kinds = sum(single.values()), len(single)
+    n1, n2 = (sum(c == k for c in single.values()) for k in (1, 2))
+    discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    followers = Counter(g[:-1] for g in grams)
+
+    def probability(gram):
+        if len(gram) == 1:
+            return (single[gram[0]] - discount) / total if single[gram[0]] else discount * kinds / total
+        seen, kinds_after = grams[gram[:-1]], followers[gram[:-1]]
+        share = kinds_after / (seen + kinds_after) if seen else 1.0
+        return (1 - share) * grams[gram] / max(seen, 1) + share * probability(gram[1:])
+
+    assert probability(("of", "course")) > 0.99  # always followed by the same word
+    rows = lm_scoring.score(df, F.col("doc_id") % 5 > 0, order=order, heaps=None).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        x = tokens[r.id]
+        assert r.score == pytest.approx(sum(math.log10(probability(tuple(x[max(0, i - order + 1):i + 1]))) for i in range(1, len(x))))
+
+
 def test_lm_edges(docs, nothing):
     untaught = lm_scoring.score(docs, F.lit(False)).collect()
     assert len(untaught) == docs.count() and {(r.n_known, r.base_score, r.score) for r in untaught} == {(0, 0.0, 0.0)}
