@@ -48,7 +48,7 @@ SHARD_ENTRIES = 1 << 20
 SMALL_SIDE = 1_000_000  # ids up to which those asked for are broadcast to the texts; more are joined by a shuffle
 GROUP_BLOCK = 512  # members of a group that one task compares with as many others
 
-DOC_DDL = "doc_id bigint, n_shingles bigint, node bigint, sketch binary"
+DOC_DDL = "doc_id bigint, t bigint, n_shingles bigint, node bigint, sketch binary"  # t: hash of the text
 ENTRY_DDL = "shard int, keys binary, nodes binary, at binary"
 GROUP_DDL = "kind int, g bigint, a bigint, b bigint"
 PAIR_DDL = "a bigint, b bigint"
@@ -205,9 +205,9 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher(SIZE)
     for batch in batches:
         sets = hasher.sets(texts_of(batch.column("text")))
-        cols = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
+        cols = [batch.column("doc_id"), batch.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "node", "sketch"])
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "n_shingles", "node", "sketch"])
 
 
 def emit(labels: list[Label], bounds: list[int], bits: int):
@@ -408,11 +408,12 @@ def compare(every: bool):
     return run
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: ``doc_id, n_shingles, component_id``."""
+def linked(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """A row per document: ``doc_id, t, n_shingles, component_id``, and the component's own name ``c``,
+    null without shingles or id."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    told = stored(rows.mapInArrow(describe, DOC_DDL), "shingle-counts")
+    told = stored(rows.withColumn("t", F.xxhash64("text")).mapInArrow(describe, DOC_DDL), "shingle-counts")
     classes = stored(told.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "shingle-classes")
     largest, total = classes.agg(F.coalesce(F.max("n"), F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -440,13 +441,27 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     # Components are named by their smallest class; documents want the smallest id.
     named = classes.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("least"))
-    final = named.join(least, "c").select("node", "least")
+    final = named.join(least, "c").select("node", "least", "c")
     whole = told.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("node"))).drop("node").join(final, F.col("key") == F.col("node"), "left")
-    return whole.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return whole.select("doc_id", "t", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "c")
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per document: ``doc_id, n_shingles, component_id``."""
+    return linked(docs, id_col, text).select("doc_id", "n_shingles", "component_id")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document of smallest id of each component, with its columns; of rows that repeat that id,
-    those with its text are one and the first is kept."""
-    keep = link(docs, id_col, text).filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_kept_id"])).drop("_kept_id")
+    """One row of each component, with its columns: of its smallest id, one text (by hash), and of rows
+    that repeat both the first by a hash of the row. Texts without shingles are a group per id and
+    text; rows without an id are all kept."""
+    mine = linked(docs, id_col, text).filter("doc_id = component_id").groupBy("doc_id", "c", "t").agg(F.count("*").alias("n"))
+    one = mine.filter("c IS NOT NULL").groupBy("doc_id", "c").agg(F.min(F.struct("t", "n")).alias("x")).select("doc_id", "x.t", "x.n")
+    keep = stored(one.union(mine.filter("c IS NULL").select("doc_id", "t", "n")).toDF("_kept_id", "_kept_text", "_kept_rows"), "kept")
+    place = docs[id_col].cast("bigint")
+    found = docs.withColumn("_row_text", F.xxhash64(docs[text].cast("string"))).join(keep, (place == keep["_kept_id"]) & (F.col("_row_text") == keep["_kept_text"]))
+    once = found.filter("_kept_rows = 1").select(*docs.columns)
+    row = F.struct(*docs.columns)
+    # Copies are reduced before the shuffle, so thousands of one row are one row per task.
+    repeated = found.filter("_kept_rows > 1").groupBy("_kept_id", "_kept_text").agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("_row")).select("_row.*")
+    return once.union(repeated).union(docs.filter(place.isNull()))

@@ -40,6 +40,20 @@ def test_stages_bear_everything(spark, docs, nothing, folder):
             stage(spark, frame, folder).collect()
 
 
+def test_deduplicate_keeps_one_row_of_each_group(spark, docs, folder):
+    words = [f"v{i}" for i in range(300)]
+    one, other, third = (" ".join(words[i:i + 80]) for i in (0, 100, 200))
+    rows = [(5, one, "a")] * 500 + [(5, one, "b"), (7, one, "a"), (5, other, "a"), (3, other, "a"), (5, third, "a"), (5, third + " tail", "a"),
+                                    (6, None, "a"), (6, None, "a"), (6, "", "a"), (None, one, "a"), (None, one, "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = corpus_pipeline.deduplicate(spark, frame, folder)
+    got = sorted((r.doc_id or 0, (r.text or "").removesuffix(" tail")) for r in kept.collect())
+    assert kept.columns == frame.columns
+    assert got == sorted([(5, one), (3, other), (5, third), (6, ""), (6, ""), (0, one), (0, one)])
+    ids = [r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, folder).select("doc_id").collect() if r.doc_id is not None]
+    assert len(ids) == len(set(ids))
+
+
 def test_the_rest_imports_without_the_package(tmp_path):
     code = ("import sys; sys.modules['basketlens.llm'] = None; sys.path.insert(0, '.')\n"
             "class Gone:\n"
