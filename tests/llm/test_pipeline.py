@@ -11,7 +11,7 @@ from basketlens.llm.common import table
 
 def test_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op") and n[2].isdigit()}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "n-gram Jaccard join", "mixing", "BPE"]
 
 
