@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, cotraining, embedding_dedup, language_id, lm_scoring, mixing, ngram_join, quality_rules, sentencepieces, token_counts, warc
+from . import bpe, cotraining, embedding_dedup, importance, language_id, lm_scoring, mixing, ngram_join, quality_rules, sentencepieces, token_counts, warc
 from .common import bucket, table
 from .sql import ORACLES  # noqa: F401  (registered beside the queries)
 
@@ -69,8 +69,12 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs, PIECES).select("doc_id", "tokens.n_pretokens", "tokens.n_tokens")
 
 
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepieces.digests(table(spark, folder, "documents"), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_lm_scoring, op4_bpe, op5_warc, op6_embedding_dedup, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts, op12_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_lm_scoring, op4_bpe, op5_warc, op6_embedding_dedup, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts, op11_importance_resampling, op12_sentencepiece)}

@@ -63,4 +63,25 @@ b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST({_CHARS.format('t')
 f AS (SELECT *, n_words<50 OR 100*n_repeat_words>50*n_words AS base_failed FROM b)
 SELECT *, NOT base_failed AND 100*lost_chars<=50*word_chars AS kept FROM f"""
 
-ORACLES = {"op1_ngram_join": OP1, "op5_warc": OP5, "op6_embedding_dedup": OP6, "op9_quality_rules": OP9}
+# crc32 of a text's UTF-8 bytes, by its table; ``t`` is the table's column in scope.
+_CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i,0,0,0,0,0,0,0,0],
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+_CRC = """xor(4294967295, list_reduce([4294967295] || [('0x' || substr(hex(encode({0})), 2*k+1, 2))::BIGINT FOR k IN range(strlen({0}))],
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+_FEATURES = rf"regexp_extract_all(translate(coalesce(text,''),'{UPPER}','{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP11 = f"""WITH {_CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, {_FEATURES} AS w FROM documents),
+f AS (SELECT r, unnest(w) AS w FROM d), g AS (SELECT unnest({_FEATURES}) AS w FROM benchmark),
+v AS (SELECT w, {_CRC.format('w')} % 10000 AS b FROM (SELECT w FROM f UNION SELECT w FROM g), crc),
+s AS (SELECT b, count(*) AS n FROM f JOIN v USING (w) GROUP BY b), t AS (SELECT b, count(*) AS n FROM g JOIN v USING (w) GROUP BY b),
+z AS (SELECT (SELECT coalesce(sum(n),0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n),0) FROM t)::DOUBLE AS t),
+gain AS (SELECT i AS b, floor(1000*ln(((coalesce(t.n,0)+1)::DOUBLE*(z.s+10000))/((coalesce(s.n,0)+1)::DOUBLE*(z.t+10000))))::BIGINT AS gain
+  FROM range(10000) i(i) CROSS JOIN z LEFT JOIN s ON s.b=i LEFT JOIN t ON t.b=i),
+o AS (SELECT r, sum(gain)::BIGINT AS weight FROM f JOIN v USING (w) JOIN gain USING (b) GROUP BY r),
+e AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight,0) AS weight, coalesce(weight,0) +
+    floor(-1000*ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR,'')),1,8))::BIGINT+0.5::DOUBLE)/4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN o USING (r)),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM e WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n*10//100 THEN rank END AS rank FROM e LEFT JOIN k USING (r)"""
+
+ORACLES = {"op1_ngram_join": OP1, "op5_warc": OP5, "op6_embedding_dedup": OP6, "op9_quality_rules": OP9, "op11_importance_resampling": OP11}
