@@ -75,3 +75,21 @@ def text_udf(make: Callable[[], Callable[[list[str]], list[tuple]]], kind: pa.Da
         for batch in batches:
             yield structs(kind, rows(texts_of(batch)))
     return F.arrow_udf(run, returnType=from_arrow_type(kind)).asNondeterministic()
+
+
+HOT = 10_000  # a key with more than one in so many rows is joined by broadcast
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: list[str], times: str) -> DataFrame:
+    """Inner join of ``rows`` to ``facts``, one row a key, whose column ``times`` counts the key's rows (and
+    is dropped). Fewer than ``HOT`` keys can be above one in ``HOT`` rows: these are broadcast, so
+    that a key of a third of all rows is not one task; the others are joined by a shuffle.
+    ``facts`` is read several times, so it should be written."""
+    total = facts.agg(F.coalesce(F.sum(times), F.lit(0)).alias("n")).first().n
+    hot = F.col(times) * HOT > total
+    names = [c for c in facts.columns if c not in (*key, times)]
+    known = F.struct(*names).alias("_known")
+    marked = rows.join(F.broadcast(facts.filter(hot).select(*key, known)), key, "left")
+    rest = marked.filter("_known IS NULL").drop("_known").join(facts.filter(~hot).select(*key, known), key)
+    both = marked.filter("_known IS NOT NULL").unionByName(rest)
+    return both.select(*rows.columns, *[F.col(f"_known.{c}").alias(c) for c in names])

@@ -12,7 +12,7 @@ across a line's end, which belong to no line. Once the gains are known, each dis
 weighed once and documents add up the weights of their lines.
 
 Scale: lines are counted map-side before they travel once; afterwards only names do. Lines that
-make up more than one in ``HEAVY`` of all occurrences (so fewer than ``HEAVY`` lines) are broadcast,
+make up more than one in ``common.HOT`` of all occurrences (so fewer than ``HOT`` lines) are broadcast,
 as a line that a third of all documents share would be one key of the join. Gains are one array
 of ``buckets`` numbers. Ranks come from a range split, never from one task.
 
@@ -27,13 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.ordering import row_numbers
-from .common import stored
+from .common import hot_join, stored
 
 # What separates words, after A-Z became a-z; additive smoothing of one a bucket.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1000.0  # gains and noise are whole thousandths
-HEAVY = 10_000  # a line with more than one in so many occurrences is broadcast
 MAX_BUCKETS = 1 << 18  # gains travel as one array
 
 
@@ -108,15 +107,10 @@ def weigh(docs: DataFrame, lines: DataFrame, gain: list[int], keep: list[str]) -
     table = F.split(F.lit(",".join(map(str, gain))), ",").cast("array<bigint>")  # folded to one literal
     total = lambda found: F.aggregate(found, F.lit(0).cast("long"), lambda sum_, b: sum_ + F.get(table, b))
     weighed = stored(lines.select("a", "b", "times", "n_words", F.size("buckets").cast("long").alias("n_features"), total(F.col("buckets")).alias("weight")), "importance-weights")
-    everything = weighed.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first().n
-    heavy = F.col("times") * HEAVY > everything
     sums = ["n_words", "n_features", "weight"]
-    held = docs.select("row", *keep, F.explode("names").alias("name")).select("row", *keep, "name.*")
-    common = weighed.filter(heavy).select("a", "b", F.struct(*sums).alias("known"))
-    held = held.join(F.broadcast(common), ["a", "b"], "left")  # fewer than HEAVY lines
-    rest = held.filter("known IS NULL").drop("known").join(weighed.filter(~heavy).select("a", "b", *sums), ["a", "b"])
+    held = hot_join(docs.select("row", *keep, F.explode("names").alias("name")).select("row", *keep, "name.*"), weighed, ["a", "b"], "times")
     cross = docs.select("row", *keep, F.lit(0).cast("long").alias("n_words"), F.size("cross").cast("long").alias("n_features"), total(F.col("cross")).alias("weight"))
-    parts = held.filter("known IS NOT NULL").select("row", *keep, "known.*").unionAll(rest.select("row", *keep, *sums)).unionAll(cross)
+    parts = held.select("row", *keep, *sums).unionAll(cross)
     return parts.groupBy("row", *keep).agg(*[F.sum(c).alias(c) for c in sums])
 
 

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, cotraining, embedding_dedup, importance, language_id, lm_scoring, mixing, ngram_join, quality_rules, sentencepieces, token_counts, warc
+from . import bpe, conversations, cotraining, embedding_dedup, importance, language_id, lm_scoring, mixing, ngram_join, quality_rules, sentencepieces, token_counts, warc
 from .common import bucket, table
 from .sql import ORACLES  # noqa: F401  (registered beside the queries)
 
@@ -77,4 +77,8 @@ def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepieces.digests(table(spark, folder, "documents"), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_lm_scoring, op4_bpe, op5_warc, op6_embedding_dedup, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts, op11_importance_resampling, op12_sentencepiece)}
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, folder, "conversations")), present="present")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_quality_classifier, op3_lm_scoring, op4_bpe, op5_warc, op6_embedding_dedup, op7_language_id, op8_mixing, op9_quality_rules, op10_token_counts, op11_importance_resampling, op12_sentencepiece, op13_conversation_repair)}

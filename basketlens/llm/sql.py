@@ -84,4 +84,41 @@ e AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight,0) AS we
 k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM e WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n*10//100 THEN rank END AS rank FROM e LEFT JOIN k USING (r)"""
 
-ORACLES = {"op1_ngram_join": OP1, "op5_warc": OP5, "op6_embedding_dedup": OP6, "op9_quality_rules": OP9, "op11_importance_resampling": OP11}
+
+def _edit(rest: str, cost: str, initial: str, piece: str = "''") -> str:
+    """Prepends an edit to ``rest``: nine digits of cost, audit, chr(1), repaired lines, each behind a line feed.
+    The least of such texts is the cheapest, then the least audit."""
+    return (f"lpad(CAST(substr({rest},1,9)::INT + {cost} AS VARCHAR), 9, '0') || '{initial}' || substr({rest}, 10, instr({rest}, chr(1)) - 9)"
+            f" || {piece} || substr({rest}, instr({rest}, chr(1)) + 1)")
+
+
+_KEEP = lambda rest: _edit(rest, "t", "K", "chr(10) || role || ':' || text")
+_ROLE = lambda rest, role: _edit(rest, "2+t", "R", f"chr(10) || '{role}:' || text")
+_NEW = lambda rest, role: _edit(rest, "2", "I", f"chr(10) || '{role}:'")
+_EMPTY = "'000000000' || chr(1)"
+# b: before insertions; state 0 nothing yet, 1 after s, 2 after u, 3 after a; v: with insertions.
+_STEP = f"""SELECT c, i, b0, b1, least(b2, {_NEW('b3', 'assistant')}) AS v2, least(b3, {_NEW('b2', 'user')}) AS v3 FROM (
+  SELECT r.c, f.i, least({_edit('v0', '3', 'D')}, CASE WHEN NOT x THEN {_ROLE('v2', 'user')} END, CASE WHEN NOT x AND r0='s' THEN {_KEEP('v1')} WHEN NOT x AND r0='u' THEN {_KEEP('v2')} END) AS b0,
+    least({_edit('v1', '3', 'D')}, CASE WHEN NOT x THEN {_ROLE('v2', 'user')} END, CASE WHEN NOT x AND r0='u' THEN {_KEEP('v2')} END) AS b1,
+    least({_edit('v2', '3', 'D')}, CASE WHEN NOT x THEN {_ROLE('v3', 'assistant')} END, CASE WHEN NOT x AND r0='a' THEN {_KEEP('v3')} END) AS b2,
+    least({_edit('v3', '3', 'D')}, CASE WHEN NOT x THEN {_ROLE('v2', 'user')} END, CASE WHEN NOT x AND r0='u' THEN {_KEEP('v2')} END) AS b3
+  FROM r JOIN f ON f.c=r.c AND f.i=r.i-1)"""
+_DAMAGED_KEY = "coalesce(conv_id::VARCHAR,' ') || ':' || coalesce(turn::VARCHAR,' ')"
+OP13 = f"""WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, coalesce(role,' ') AS role, coalesce(text,' ') AS text, {_DAMAGED_KEY} AS name FROM conversations),
+h AS (SELECT c, turn, CASE WHEN {_CRC.format('name')} % 20 = 4 THEN 'user' ELSE role END AS role, {_CRC.format('name')} % 20 AS d, text FROM o, crc),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM (
+  SELECT c, turn, role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text,'[.!?]','','g') ELSE text END AS text, unnest(CASE d WHEN 0 THEN [] WHEN 3 THEN [1,2] ELSE [1] END) AS copy FROM h)),
+g AS (SELECT *, left(role,1) AS r0, NOT regexp_matches(text,'[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i)>1 AS again,
+  NOT regexp_matches(text,'[.!?][\\x20\\x09-\\x0D]*$') AS cut, lag(left(role,1)) OVER (PARTITION BY c ORDER BY i) AS before FROM n),
+f AS (SELECT *, blank OR again AS x, CASE WHEN cut AND NOT blank AND NOT again THEN 1 ELSE 0 END AS t FROM g),
+s AS (SELECT c, count(*) AS n, coalesce(max(turn)-min(turn)+1-count(DISTINCT turn),0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  sum(t)::BIGINT AS truncated, count(*) FILTER (before IS NOT NULL AND before || r0 NOT IN ('su','ua','au')) AS illegal FROM f GROUP BY c),
+r(c, i, v0, v1, v2, v3) AS (
+  SELECT c, n+1, {_EMPTY}, '000000004II' || chr(1) || chr(10) || 'user:' || chr(10) || 'assistant:', '000000002I' || chr(1) || chr(10) || 'assistant:', {_EMPTY} FROM s
+  UNION ALL SELECT c, i, least(b0, {_NEW('v2', 'user')}), least(b1, {_NEW('v2', 'user')}), v2, v3 FROM ({_STEP}))
+SELECT conv_id, coalesce(gaps,0) AS gaps, coalesce(blank,0) AS blank, coalesce(duplicate,0) AS duplicate, coalesce(truncated,0) AS truncated, coalesce(illegal,0) AS illegal,
+  coalesce(substr(v0,1,9)::BIGINT,0) AS cost, coalesce(substr(v0,10,instr(v0,chr(1))-10),'') AS audit, sha256(coalesce(substr(v0,instr(v0,chr(1))+2),'')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM o) LEFT JOIN s USING (c) LEFT JOIN (SELECT c, v0 FROM r WHERE i=1) USING (c)"""
+
+ORACLES = {"op1_ngram_join": OP1, "op5_warc": OP5, "op6_embedding_dedup": OP6, "op9_quality_rules": OP9, "op11_importance_resampling": OP11, "op13_conversation_repair": OP13}

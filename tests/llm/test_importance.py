@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from basketlens.llm import importance
+from basketlens.llm import common, importance
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -68,7 +68,7 @@ def test_a_common_line_is_broadcast_and_changes_nothing(spark, target, monkeypat
     goal = [r.text for r in target.collect()]
     expected = brute(rows, goal, percent=50, min_words=5)
     assert got(importance.resample(frame, target, percent=50, min_words=5)) == expected
-    monkeypatch.setattr(importance, "HEAVY", 3)
+    monkeypatch.setattr(common, "HOT", 3)
     assert got(importance.resample(frame, target, percent=50, min_words=5)) == expected
     _, lines = importance.segmented(frame, "text", 1, 10_000, {})
     assert lines.count() == 301 and lines.agg(F.max("times")).first()[0] == 600
