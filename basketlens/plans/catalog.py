@@ -17,7 +17,7 @@ from ..operators import slicers as S
 from ..operators.funnel import funnel, funnel_by
 from ..operators.trend import trend
 from ..session import prepare
-from ..sources import cleaning, raw_csv, store
+from ..sources import blocks, cleaning, raw_csv, store
 from ..sources.tables import event_sessions, raw_sessions, sessions
 from . import export, pages
 
@@ -125,9 +125,39 @@ def _fmt_matrix(spark: SparkSession, folder: str) -> DataFrame:
         D.date_label(F.col("o_orderdate").cast("date")).alias("date_label"))
 
 
+# Tables whose rows are written as text, in order of the first column, to take the digest of their bytes.
+DIGESTED = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+            "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+            "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]}
+
+
+def _home(spark: SparkSession, name: str) -> str:
+    return f"{prepare(spark).sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def _fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    files = raw_csv.fingerprint(prepare(spark), f"{folder}/*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "digest")
+    """Bytes and digest of some tables' text, however many files it is in."""
+    home = _home(spark, "digested")
+    for name, columns in DIGESTED.items():
+        rows = spark.read.parquet(f"{folder}/{name}.parquet").orderBy(columns[0])
+        rows.select(F.concat_ws("|", *columns)).write.text(f"{home}/{name}")
+    return blocks.folders(raw_csv.fingerprint(spark, [f"{home}/{name}" for name in DIGESTED])).select("name", "bytes", "digest")
+
+
+def _csv_quoted(spark: SparkSession, folder: str) -> DataFrame:
+    """CSV files with line breaks and doubled quotes inside fields, and with rows of too many and too few
+    fields, read back: the id and the spoilt field of good rows, the text of the others."""
+    raw, home = raw_sessions(spark, folder), _home(spark, "quoted")
+    key, bucket = F.col("session_id").try_cast("bigint"), F.col("session_duration_bucket")
+    torn = raw.withColumn("session_duration_bucket", F.when(key % 13 == 0, F.concat(F.lit('two "lines",\n'), bucket)).otherwise(bucket))
+    torn.write.options(header=True, emptyValue="", escape='"').csv(f"{home}/torn")
+    more = F.when(key % 101 == 5, ",surplus").when(key % 103 == 7, "\ntoo,few")
+    odd = raw.select(F.concat(F.concat_ws(",", *raw.columns), more).alias("line")).filter("line IS NOT NULL")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its file
+    odd.select(F.when(first, F.concat(F.lit(",".join(raw.columns) + "\n"), "line")).otherwise(F.col("line"))).write.text(f"{home}/odd")
+    rows = raw_csv.read_raw(spark, [f"{home}/torn", f"{home}/odd"])
+    good = F.col(raw_csv.BROKEN).isNull()
+    return rows.select(F.when(good, F.col("session_id")).alias("session_id"), F.when(good, bucket).alias("bucket"), F.col(raw_csv.BROKEN).alias("malformed"))
 
 
 def _spoilt_store(spark: SparkSession, folder: str) -> str:
@@ -135,14 +165,14 @@ def _spoilt_store(spark: SparkSession, folder: str) -> str:
     range, blank ids, and rows that occur twice."""
     raw = raw_sessions(spark, folder)
     key = F.col("session_id").try_cast("bigint")
-    spoilt = raw.withColumns({
+    spoil = lambda df: df.withColumns({
         "unit_price": F.when(key % 97 == 0, "1e40").otherwise(F.col("unit_price")),
         "quantity": F.when(key % 89 == 1, "9000000000000000000").otherwise(F.col("quantity")),
         "session_id": F.when(key % 83 == 2, "").otherwise(F.col("session_id"))})
-    home = f"{spark.sparkContext.getCheckpointDir()}/spoilt-{uuid.uuid4().hex}"
+    home = _home(spark, "spoilt")
     out = lambda df, name: df.write.option("header", True).option("emptyValue", "").csv(f"{home}/{name}")
-    out(spoilt, "first files")
-    out(spoilt.filter(key % 79 == 3).select(*reversed(raw.columns)), "other_order")
+    out(spoil(raw), "first files")
+    out(spoil(raw.filter(key % 79 == 3)).select(*reversed(raw.columns)), "other_order")
     export.build_store(spark, [f"{home}/first files", f"{home}/other_order"], f"{home}/store")
     return f"{home}/store"
 
@@ -176,6 +206,7 @@ QUERIES: dict[str, Query] = {
     "meta_summary": _on_raw(_metadata),
     "store_status": _on_sessions(store.status),
     "source_fingerprint": _fingerprint,
+    "csv_quoted": _csv_quoted,
     "export_totals": _on_sessions(export.summary),
     "export_segments": _on_sessions(_segments),
     "export_json": lambda spark, folder: export.export(sessions(spark, folder), source=export.provenance(spark, folder)),

@@ -62,7 +62,7 @@ def write_store(raw: DataFrame, folder: str, files: DataFrame | None = None) ->
     store.write_table(cleaning.rejected(judged), load, "rejects")
     store.write_table(profile(texts), load, "dq_columns")
     if files is not None:
-        store.write_table(files.drop("header"), load, "source_files")
+        store.write_table(files.select("path", "bytes", "digest"), load, "source_files")
     kept = spark.read.schema(SESSION_SCHEMA).parquet(f"{load}/sessions")
     store.write_table(metadata(texts, parsed, cleaning.accepted(parsed), kept), load, "meta")
     store.publish(spark, folder, load)

@@ -23,6 +23,9 @@ def prepare(spark: SparkSession) -> SparkSession:
         context.setCheckpointDir(shared)
     # A join whose output feeds a group-by on the same key is only split when forced.
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    # Two reads of the same files must see the same blocks, however many executors there are by then.
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(context.defaultParallelism))
     return spark
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..model import REQUIRED_COLUMNS, SOURCE_COLUMNS
+from . import blocks
 
 BROKEN = "_broken"  # text of a row whose number of fields differs from its header's
+FORM = {"encoding": "UTF-8", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": BROKEN,
+        "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1"}
 MAX_HEADERS = 100  # different headers in one load; more is a mistake in the input
 
 
@@ -20,58 +23,40 @@ def check_header(columns: list[str], file: str = "") -> list[str]:
 
 
 def fingerprint(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per source file: path, bytes, digest and header line.
-
-    One definition for files of any size: the number of lines, and sum and xor of the hashes of
-    (line number, line). Line numbers come from the number of lines in each split before, so the
-    digest tells reordered lines apart and does not depend on how the file was split. Empty files
-    have no row.
-    """
-    files = (spark.read.format("binaryFile").load(path)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")))
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("at"), "value")
-    splits = lines.groupBy("path", "start").agg(
-        F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.min_by("value", "at").alias("line"))
-    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per split of a file.
-    offsets = splits.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    number = F.col("offset") + F.col("at") - F.col("first")
-    hashed = lines.select("path", "start", "at", F.xxhash64("value").alias("h")).join(offsets, ["path", "start"])
-    line = F.xxhash64(number, "h")
-    digests = hashed.groupBy("path").agg(
-        F.concat_ws(":", F.count(F.lit(1)), F.sum(line.cast("decimal(28,0)")).cast("string"), F.bit_xor(line)).alias("digest"),
-        F.min_by("line", "start").alias("header"))
-    return (files.join(digests, "path", "left")
-            .select("path", "bytes", F.coalesce("digest", F.lit("0:0:0")).alias("digest"),
-                    F.regexp_replace(F.coalesce("header", F.lit("")), "^﻿", "").alias("header")))
+    """One row per source file: path, bytes, digest of the bytes, header record, and whether and in which blocks
+    records hold line breaks. Empty files have no row. One pass over the input, a row per block moved."""
+    return blocks.files(spark, path)
 
 
 def read_raw(spark: SparkSession, path: str | list[str], files: DataFrame | None = None, multi_line: bool = True) -> DataFrame:
     """All-text rows in the order of SOURCE_COLUMNS; blanks stay blank text rather than null.
 
-    Files are read in groups of equal headers and lined up by column name. Doubled quotes and, with
-    ``multi_line``, quoted line breaks are understood; then a file is read by one task, so without
-    quoted line breaks large files should be read with ``multi_line=False``. A row with too few or
-    too many fields keeps its text in column BROKEN.
+    Files are read in groups of equal headers and lined up by column name, and in parallel whatever their size.
+    Those whose quoted fields hold line breaks are cut into records by what ``files`` tells of their blocks; with
+    ``multi_line`` off every line is taken as a record. A lone carriage return is data. A row with too few or too
+    many fields keeps its text in column BROKEN.
     """
-    files = fingerprint(spark, path) if files is None else files
-    groups = files.filter("bytes > 0").groupBy("header").agg(F.collect_list("path").alias("paths")).limit(MAX_HEADERS + 1).collect()
+    files = fingerprint(spark, path).checkpoint() if files is None else files
+    odd = F.col("breaks") if multi_line else F.lit(False)
+    groups = files.filter("bytes > 0").groupBy("header").agg(
+        F.min("path").alias("example"), F.collect_list(F.when(~odd, F.col("path"))).alias("paths"), F.count_if(odd).alias("odd")).limit(MAX_HEADERS + 1).collect()
     if len(groups) > MAX_HEADERS:
         raise ValueError(f"more than {MAX_HEADERS} different headers")
     out = None
-    for header, paths in groups:
-        names = check_header(next(csv.reader([header])), paths[0])
+    for header, example, paths, broken in groups:
+        names = check_header(next(csv.reader([header])), example)
         schema = ", ".join(f"`{n}` string" for n in [*names, BROKEN])
-        rows = (spark.read.schema(schema).option("header", True).option("encoding", "UTF-8")
-                .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-                .option("columnNameOfCorruptRecord", BROKEN)
-                .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-                .csv([unescaped(p) for p in paths]))
+        parts = []
+        if paths:
+            parts.append(spark.read.schema(schema).options(header=True, columnPruning=False, **FORM).csv([unescaped(p) for p in paths]))
+        if broken:
+            rows = files.filter(odd & (F.col("header") == header)).select("path", "starts", "inside", F.xxhash64("path").alias("hash")).collect()
+            found = blocks.records(spark, path, rows).filter("NOT (start = 0 AND seq = 0)")
+            parts.append(found.select(F.from_csv("text", schema, FORM).alias("r")).select("r.*"))
         texts = [(F.coalesce(f"`{c}`", F.lit("")) if c in names else F.lit("")).alias(c) for c in SOURCE_COLUMNS]
-        part = rows.select(*texts, BROKEN)
-        out = part if out is None else out.unionByName(part)
+        for part in parts:
+            part = part.select(*texts, BROKEN)
+            out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError(f"no file with a header under {path}")
     return out

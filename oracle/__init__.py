@@ -3,5 +3,5 @@
 from .reports import REPORTS
 from .tables import TABLES
 
-# Without SQL: source_fingerprint reads file bytes, export_json is text of checked parts.
+# Without SQL: export_json is text of checked parts.
 ORACLES: dict[str, str] = TABLES | REPORTS

@@ -247,6 +247,34 @@ def options(dim):
             f"SELECT key AS value, {label} AS label, n FROM g")
 
 
+# The digest: the text's bytes as one number in base 256, remainders by two primes.
+DIGESTED = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+            "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+            "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]}
+LINES = " UNION ALL ".join(f"SELECT '{t}' AS name, {c[0]} AS k, concat_ws('|', {', '.join(c)}) || chr(10) AS t FROM {t}" for t, c in DIGESTED.items())
+
+
+def remainder(prime: int) -> str:
+    line = f"list_reduce([0::HUGEINT] || b, lambda a, x: (a*256 + x) % {prime})"
+    shift = f"list_reduce([1::HUGEINT] || b, lambda a, x: (a*256) % {prime})"
+    return (f"list_reduce([{{'r': 0::HUGEINT, 's': 1::HUGEINT}}] || list({{'r': {line}, 's': {shift}}} ORDER BY k), "
+            f"lambda a, x: {{'r': (a.r*x.s + x.r) % {prime}, 's': x.s}}).r")
+
+
+FINGERPRINT = f"""WITH l AS ({LINES}),
+  c AS (SELECT name, k, [('0x' || substr(hex(encode(t)), 2*i+1, 2))::HUGEINT FOR i IN range(strlen(t))] AS b FROM l),
+  h AS (SELECT name, {big('SUM(len(b))')} AS bytes, {remainder(2305843009213691579)} AS r0, {remainder(2305843009213690799)} AS r1 FROM c GROUP BY name)
+  SELECT name, bytes, format('{{:016x}}', r0::BIGINT) || format('{{:016x}}', r1::BIGINT) AS digest FROM h"""
+CSV_QUOTED = RAW + """, k AS (SELECT *, CAST(session_id AS BIGINT) AS k FROM raw)
+  SELECT session_id, CASE WHEN k%13=0 THEN 'two "lines",' || chr(10) ELSE '' END || session_duration_bucket AS bucket, CAST(NULL AS VARCHAR) AS malformed FROM k
+  UNION ALL SELECT NULL, NULL, array_to_string([customer_id, session_id, visit_date, device_type, user_type, marketing_channel, product_id, product_category,
+    unit_price, quantity, discount_percent, discount_amount, revenue, pages_viewed, time_on_site_sec, added_to_cart, purchased, cart_abandoned, rating,
+    review_text, review_helpful_votes, payment_method, visit_day, visit_month, visit_weekday, visit_season, session_duration_bucket,
+    revenue_normalized, location, 'surplus'], ',') FROM k WHERE k%101=5
+  UNION ALL SELECT session_id, session_duration_bucket, NULL FROM k WHERE k%103=7 AND k%101<>5
+  UNION ALL SELECT NULL, NULL, 'too,few' FROM k WHERE k%103=7 AND k%101<>5"""
+
+
 TABLES = {
     "ingest_clean": CLEAN + CLEAN_COLUMNS + " FROM clean",
     "ingest_store_rows": CLEAN + CLEAN_COLUMNS.replace("SELECT", "SELECT DISTINCT", 1) + " FROM clean",
@@ -258,6 +286,8 @@ TABLES = {
         SELECT ending, {big('COUNT(*)')} AS n FROM judged WHERE ending<>'stored' GROUP BY 1
         UNION ALL SELECT 'stored', {big('SUM(CASE WHEN blank THEN n ELSE 1 END)')} FROM kept
         UNION ALL SELECT 'repeated session_id', {big('SUM(n-1)')} FROM kept WHERE NOT blank HAVING SUM(n-1)>0""",
+    "source_fingerprint": FINGERPRINT,
+    "csv_quoted": CSV_QUOTED,
     "meta_summary": FINDINGS + key_values(META),
     "store_status": SESSIONS + f"SELECT {big('COUNT(*)')} AS rows, CAST(40 AS BIGINT) AS columns, COUNT(*)>0 AS ready FROM sessions",
     "export_totals": SESSIONS + f"SELECT COUNT(*)>0 AS ready, {metrics(TOTALS, True)} FROM sessions",

@@ -122,22 +122,6 @@ def test_build_and_reopen(spark, tmp_path, folder):
     assert pages.conversion(stored).count() > 40
 
 
-def test_fingerprint_sees_order_and_not_splits(spark, tmp_path):
-    (tmp_path / "f").mkdir()
-    for name, lines in (("a b", "x\ny\n"), ("b", "y\nx\n"), ("c", "x\nx\n"), ("d", "")):
-        (tmp_path / "f" / f"{name}.csv").write_text(lines * 3000)
-    take = lambda: {r.path.rpartition("/")[2]: (r.bytes, r.digest) for r in raw_csv.fingerprint(spark, str(tmp_path / "f")).collect()}
-    whole = take()
-    # A file without bytes has nothing to fingerprint; Spark does not list it.
-    assert set(whole) == {"a%20b.csv", "b.csv", "c.csv"} and len({d for _, d in whole.values()}) == 3
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
-        assert take() == whole
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-
-
 def test_missing_store_is_none_but_other_errors_surface(spark, tmp_path):
     assert store.stored_sessions(spark, str(tmp_path / "nowhere")) is None
 
