@@ -3,8 +3,9 @@
 A word's encoding is known from its last token: a vocabulary entry that is a suffix of the word
 and that may stand behind the last token of the rest. Exactly one suffix qualifies, so the last
 token is a state of the word's trie node. Distinct words are laid out in sorted order, which is
-the depth-first order of their trie; the walk keeps the states of the current path only, and a
-prefix that many words share is encoded once. Whether two tokens may stand side by side is read
+the depth-first order of their trie; the walk keeps the states of the current path only (the last
+token and where it begins, from which a terminal node follows back), and a prefix that many words
+share is encoded once. Whether two tokens may stand side by side is read
 off their merge trees: no pair of symbols along the seam may have a merge that would have come
 before the merges that built the two tokens. Training gives a merged token a higher rank than its
 parts, on which this rests; ``load`` checks it and each token's own encoding.
@@ -24,6 +25,7 @@ import os
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import sha256
 from struct import pack
 
 import pyarrow as pa
@@ -34,10 +36,11 @@ from pyspark.sql.pandas.types import from_arrow_type
 from .common import ready, text_udf
 
 MAX_FILE_BYTES = 64 << 20  # a tokenizer file beyond this is refused rather than broadcast
-CACHED_WORDS = 150_000  # encodings a task keeps between batches before it starts afresh
+CACHED_WORDS = 400_000  # encodings a task keeps between batches before it starts afresh
 # The Unicode White_Space class, which the normalizer's and the split pattern's \s mean.
 WHITE = r"\p{White_Space}"
 KIND = pa.struct([("ids", pa.binary()), ("n_tokens", pa.int64())])
+DIGESTS = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 NO_RANK = 1 << 60
 
 
@@ -166,9 +169,9 @@ class Encoder:
 
     def walk(self, words: list[str]) -> None:
         """Visit the trie of sorted words depth first. Depth k of the path holds the last token of
-        the word's first k symbols, where it starts, and the encoding so far."""
+        the word's first k symbols and where it begins; a terminal node follows these back."""
         inner, final, longest, fits, seams = self.inner, self.final, self.v.longest, self.v.fits, self.v.seams
-        last, begin, done = [-1], [0], [b""]
+        last, begin = [-1], [0]
         before = ""
         for word in words:
             text = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
@@ -177,7 +180,7 @@ class Encoder:
             limit = min(len(before), size - 1, len(last) - 1)
             while common < limit and before[common] == text[common]:
                 common += 1
-            del last[common + 1:], begin[common + 1:], done[common + 1:]
+            del last[common + 1:], begin[common + 1:]
             for end in range(common + 1, size + 1):
                 names = inner if end < size else final
                 # The last token of the shorter prefix, one symbol longer, is the likeliest.
@@ -191,16 +194,32 @@ class Encoder:
                             break
                 else:
                     raise ValueError(f"no encoding of {text[:end]!r}")
-                code = done[start] + pack("<I", token)
-                if end == size:
-                    self.words[word] = code
-                else:
+                if end < size:
                     last.append(token)
                     begin.append(start)
-                    done.append(code)
+            ids = [token]
+            while start:
+                ids.append(last[start])
+                start = begin[start]
+            self.words[word] = pack(f"<{len(ids)}I", *reversed(ids))
             before = text
 
 
+class Decoder:
+    """The file names no decoder, so the tokens' own strings are joined by blanks; ids the file does not
+    know are left out."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.names = {i: t for t, i in [*vocabulary.ids.items(), *vocabulary.special.items()]}
+
+    def decode(self, packed: bytes) -> str:
+        ids, names = memoryview(packed).cast("I"), self.names
+        try:
+            return " ".join(map(names.__getitem__, ids))
+        except KeyError:
+            return " ".join([names[i] for i in ids if i in names])
+
+
 def vocabulary_of(spark: SparkSession, path: str):
     """Broadcast fields of the vocabulary; their size is bounded by the file's."""
     return ready(spark).sparkContext.broadcast(vars(load(path)))
@@ -219,16 +238,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "bpe") ->
 
 
 def decode(rows: DataFrame, path: str, ids: str, out: str = "decoded") -> DataFrame:
-    """All rows and columns, and ``out``: the text of packed ids. The file names no decoder, so the
-    tokens' own strings are joined by blanks; ids the file does not know are left out."""
+    """All rows and columns, and ``out``: the text of packed ids."""
     shared = vocabulary_of(rows.sparkSession, path)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = Vocabulary(**shared.value)
-        names = {i: t for t, i in [*v.ids.items(), *v.special.items()]}
+        decoder = Decoder(Vocabulary(**shared.value))
         for batch in batches:
-            texts = [" ".join([names[i] for i in memoryview(b or b"").cast("I") if i in names]) for b in batch.to_pylist()]
-            yield pa.array(texts, pa.string())
+            yield pa.array([decoder.decode(b or b"") for b in batch.to_pylist()], pa.string())
 
     return rows.withColumn(out, F.arrow_udf(run, returnType=from_arrow_type(pa.string())).asNondeterministic()(F.col(ids)))
 
@@ -238,7 +254,15 @@ def ids_of(packed: bytes) -> list[int]:
 
 
 def digests(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
-    """Counts and digests of tokens and decoded text beside the columns ``keep``."""
-    coded = decode(encode(docs.select(*(keep or ["doc_id"]), "text"), path).drop("text"), path, "bpe.ids")
-    return coded.select(*(keep or ["doc_id"]), F.col("bpe.n_tokens").alias("n_tokens"), F.sha2("bpe.ids", 256).alias("ids_sha256"),
-                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    """Counts and digests of tokens and decoded text beside the columns ``keep``. Texts are encoded and
+    their ids decoded in the same task, so neither ids nor decoded texts leave it."""
+    shared = vocabulary_of(docs.sparkSession, path)
+    keep = keep or ["doc_id"]
+
+    def make():
+        vocabulary = Vocabulary(**shared.value)
+        encoder, decoder = Encoder(vocabulary), Decoder(vocabulary)
+        return lambda texts: [(len(ids) // 4, sha256(ids).hexdigest(), sha256(decoder.decode(ids).encode()).hexdigest()) for ids in encoder.encode(texts)]
+
+    told = docs.select(*keep, text_udf(make, DIGESTS)(F.col("text").cast("string")).alias("_told"))
+    return told.select(*keep, *[F.col(f"_told.{c.name}").alias(c.name) for c in DIGESTS])

@@ -79,6 +79,28 @@ def test_every_token_and_odd_text_encodes_as_the_library_does(spark, folder):
     assert [bpe.ids_of(x) for x in encoder.encode(odd)] == [e.ids for e in library.encode_batch(odd, add_special_tokens=False)]
 
 
+@pytest.mark.skipif(not os.path.exists(WORD_BPE), reason="no tokenizer file")
+def test_long_words_take_linear_memory():
+    import resource
+
+    from tokenizers import Tokenizer
+    library, encoder = Tokenizer.from_file(WORD_BPE), bpe.Encoder(bpe.load(WORD_BPE))
+    encoder.encode(["warm"])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    texts = ["q" * 1_000_000, "theing" * 170_000, "a1" * 20_000]
+    coded = encoder.encode(texts)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # kilobytes
+    for text, ids in zip(texts, coded):
+        assert bpe.ids_of(ids) == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.skipif(not os.path.exists(WORD_BPE), reason="no tokenizer file")
+def test_one_worker_encodes_and_decodes(docs):
+    plan = bpe.digests(docs, WORD_BPE)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert bpe.Decoder(bpe.load(WORD_BPE)).decode(b"\xff\xff\xff\x7f") == ""
+
+
 @pytest.mark.skipif(not os.path.exists(PIECES), reason="no vocabulary file")
 def test_token_counts_are_the_library(docs, texts, nothing):
     from tokenizers import Tokenizer, models
