@@ -3,15 +3,19 @@
 Two logistic classifiers look at one document each in its own way: the text view at hashed word
 and character-shape features of the content, the metadata view at what is known about the page
 (source, language, length, layout: characters, lines, mean line and word length, share of letters,
-capitals, digits, marks). They start from the labelled sample. In each round each view scores a
-sample of unlabelled documents and hands its most confident ones, in the proportion of the labels,
-to the other view as pseudo-labels, provided its balanced accuracy on held-back labels is above
-chance by ``min_skill``. At last each view is calibrated on the held-back labels (Platt scaling)
-and the calibrated log-odds are added, weighted by skill; a view without skill weighs nothing.
-
-Fitting uses a bounded sample: about MAX_LABELLED labelled and MAX_UNLABELLED unlabelled documents,
-picked by a hash of id and text, whose features are computed in Spark and fitted on the driver.
-Scoring runs over all documents, whole texts, as one pass without a shuffle.
+capitals, digits, marks). They start from the labelled sample. In each round each view scores all unlabelled documents and
+hands its most confident ones, in the proportion of the labels, to the other view as pseudo-labels,
+provided its balanced accuracy on held-back labels is above chance by ``min_skill``. At last each
+view is calibrated on the held-back labels (Platt scaling) and the calibrated log-odds are added,
+weighted by skill; a view without skill weighs nothing.
+
+Only labelled rows are sampled: about MAX_LABELLED, one row an id, picked by a hash, fitted on the
+driver. The features of all documents are computed once and written sparsely. A round is two
+passes over them: a histogram of log-odds (BINS a view) gives the limits beyond which the wanted share of
+all unlabelled documents lies, and the documents beyond are added up, exactly, to one mean vector for each
+teacher, label and GROUPS of metadata values. A view is fitted on the labelled documents and these means, weighted by
+their counts, at half the weight of the labelled documents together, whatever the corpus's size. What reaches the
+driver is bounded by BINS and GROUPS. Scoring is one pass over whole texts without a shuffle.
 
 Defined results: without labels of both kinds every score is 0.5 and every document is kept; null
 or empty texts have no content features and are scored by metadata and bias alone; null metadata is
@@ -27,18 +31,23 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from .common import ready, structs
+from .common import ready, stored, structs
 
-MAX_LABELLED = 2500
-MAX_UNLABELLED = 1500
-TEXT_BITS = 11  # size of the hashed text features
+MAX_LABELLED = 4000
+TEXT_BITS = 12  # size of the hashed text features
 META_BITS = 8  # size of the hashed source and language features
 ROUNDS = 4
-SHARE = 0.05  # of the unlabelled sample that a view labels in each round
+SHARE = 0.05  # of the unlabelled documents that a view labels, more in each round
+BINS, SPAN = 4096, 32.0  # bins of log-odds between -SPAN and SPAN
+GROUPS = 16  # mean vectors of a teacher and label
+UNIT = 1 << 20  # features are added up as whole multiples of 1/UNIT, in any order
+TRUST = 0.5  # weight of all pseudo-labels of a kind, the labels of that kind being 1
 SUREST = 6.0  # log-odds; the held-back sample supports no more
 KIND = pa.struct([("score", pa.float64()), ("text_score", pa.float64()), ("meta_score", pa.float64())])
 MARKS = b"#*$%&|<>!"
@@ -151,38 +160,111 @@ def platt(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 0.0), b
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, free: list[np.ndarray], held: np.ndarray, rounds: int = ROUNDS, share: float = SHARE,
-            min_skill: float = 0.2) -> dict:
-    """Fit both views. ``views``: features of labelled documents by view; ``free``: of unlabelled
+def odds_bin(odds: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((odds + SPAN) * (BINS / (2 * SPAN))), 0, BINS - 1).astype(np.int64)
+
+
+def limits(histogram: np.ndarray, wanted: float, good: float) -> tuple[int, int]:
+    """Bins (low, high): those up to ``low`` hold the surest bad documents, those from ``high`` on the
+    surest good ones, ``wanted`` of them in all; a bin is taken whole, and never across log-odds of 0."""
+    middle = BINS // 2
+    above, below = np.cumsum(histogram[::-1]), np.cumsum(histogram)
+    high = BINS - 1 - int(np.searchsorted(above, max(1.0, wanted * good)))
+    low = int(np.searchsorted(below, max(1.0, wanted * (1 - good))))
+    return min(low, middle - 1), max(high, middle)
+
+
+def histograms(models: list[Logistic], views: list[np.ndarray]) -> np.ndarray:
+    """Documents by view and bin of log-odds."""
+    return np.stack([np.bincount(odds_bin(m.odds(x)), minlength=BINS) for m, x in zip(models, views)])
+
+
+def slots(models: list[Logistic], views: list[np.ndarray], group: np.ndarray, cuts: list[tuple[int, int] | None]) -> dict[tuple[int, int, int], tuple[int, np.ndarray]]:
+    """(teacher, label, group) -> how many documents, and the sum of the other view's features."""
+    found = {}
+    for me, cut in enumerate(cuts):
+        if cut is None:
+            continue
+        at, student = odds_bin(models[me].odds(views[me])), views[1 - me]
+        for label, chosen in ((0, at <= cut[0]), (1, at >= cut[1])):
+            for g in np.unique(group[chosen]).tolist():
+                rows = chosen & (group == g)
+                found[me, label, g] = int(rows.sum()), np.rint(student[rows].astype(np.float64) * UNIT).astype(np.int64).sum(axis=0)
+    return found
+
+
+class Pool:
+    """The unlabelled documents as a written table of sparse features. Every document takes part in every round."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.size = rows, rows.count()
+
+    def histograms(self, models: list[Logistic]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, BINS), dtype=np.int64)
+            for _, views, _ in dense_batches(batches):
+                total += histograms(models, views)
+            view, at = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(view), pa.array(at), pa.array(total[view, at])], names=["view", "bin", "n"])
+
+        told = self.rows.mapInArrow(run, "view long, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros((2, BINS), dtype=np.int64)
+        out[told["view"].to_numpy(), told["bin"].to_numpy()] = told["n"].to_numpy()
+        return out
+
+    def slots(self, models: list[Logistic], cuts: list[tuple[int, int] | None]) -> dict:
+        kind = "teacher long, label long, grp long, part long, n long, sums binary"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, total = TaskContext.get().partitionId(), {}
+            for _, views, group in dense_batches(batches):
+                for key, (n, sums) in slots(models, views, group, cuts).items():
+                    have = total.get(key)
+                    total[key] = (n, sums) if have is None else (have[0] + n, have[1] + sums)
+            cols = list(zip(*[(*key, part, n, sums.tobytes()) for key, (n, sums) in total.items()])) or [[] for _ in range(6)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(cols)], names=["teacher", "label", "grp", "part", "n", "sums"])
+
+        def add(rows: pd.DataFrame) -> pd.DataFrame:
+            sums = sum(np.frombuffer(x, dtype=np.int64) for x in rows.sums)
+            return rows.head(1).assign(n=int(rows.n.sum()), sums=[sums.tobytes()])
+
+        each = self.rows.mapInArrow(run, kind)
+        some = each.withColumn("part", F.col("part") % 64).groupBy("teacher", "label", "grp", "part").applyInPandas(add, kind)
+        told = some.groupBy("teacher", "label", "grp").applyInPandas(add, kind).collect()
+        return {(r.teacher, r.label, r.grp): (r.n, np.frombuffer(r.sums, dtype=np.int64)) for r in told}
+
+
+def cotrain(views: list[np.ndarray], y: np.ndarray, pool, held: np.ndarray, rounds: int = ROUNDS, share: float = SHARE, min_skill: float = 0.2) -> dict:
+    """Fit both views. ``views``: features of labelled documents by view; ``pool``: the unlabelled
     ones; ``held``: which labelled documents are held back for skill and calibration."""
-    taught: list[dict[int, int]] = [{}, {}]  # pseudo-labels each view was given: document -> label
+    taught: list[dict] = [{}, {}]  # means each view was given: (label, group) -> count, vector
     models: list[Logistic] = []
-    good = y[~held].mean()
+    own = y[~held]
+    good = own.mean()
     for turn in range(rounds + 1):
         models = []
-        for x, other, given in zip(views, free, taught):
-            at = np.array(sorted(given), dtype=np.int64)
-            xs, ys = np.concatenate([x[~held], other[at]]), np.concatenate([y[~held], np.array([given[i] for i in at.tolist()], dtype=np.float64)])
-            models.append(Logistic().fit(xs, ys, np.concatenate([np.ones((~held).sum()), np.full(len(at), 0.5)])))
-        if turn == rounds or not len(free[0]):
+        for x, given in zip(views, taught):
+            keys = sorted(given)
+            n = np.array([given[k][0] for k in keys], dtype=np.float64)
+            ys = np.array([label for label, _ in keys], dtype=np.float64)
+            trust = np.array([TRUST * (own == label).sum() * given[label, g][0] / n[ys == label].sum() for label, g in keys])
+            means = np.array([given[k][1] for k in keys], dtype=np.float32).reshape(len(keys), x.shape[1])
+            models.append(Logistic().fit(np.concatenate([x[~held], means]), np.concatenate([own, ys]), np.concatenate([np.ones(len(own)), trust])))
+        if turn == rounds or not pool.size:
             break
-        for me, (model, x, other) in enumerate(zip(models, views, free)):
-            if skill(model.odds(x[held]), y[held]) < min_skill:
-                continue
-            odds, quota = model.odds(other), max(1, int(share * len(other)))
-            order = [i for i in np.argsort(odds, kind="stable").tolist() if i not in taught[1 - me]]
-            up = max(1, round(quota * good))
-            for i in order[::-1][:up]:
-                if odds[i] > 0:
-                    taught[1 - me][i] = 1
-            for i in order[:max(1, quota - up)]:
-                if odds[i] < 0:
-                    taught[1 - me][i] = 0
+        able = [skill(m.odds(x[held]), y[held]) >= min_skill for m, x in zip(models, views)]
+        if not any(able):
+            break
+        cuts = [limits(h, share * (turn + 1) * pool.size, good) if fit else None for h, fit in zip(pool.histograms(models), able)]
+        given = pool.slots(models, cuts)
+        for me in (0, 1):
+            if able[me]:
+                taught[1 - me] = {(label, g): (n, sums / (n * UNIT)) for (teacher, label, g), (n, sums) in given.items() if teacher == me}
     parts = []
     for model, x in zip(models, views):
         odds = model.odds(x[held])
         parts.append((model.mean, model.scale, model.w, model.b, *platt(odds, y[held]), skill(odds, y[held])))
-    return {"views": parts}
+    return {"views": parts, "rounds": turn, "pool": pool.size}
 
 
 def view_features(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -194,38 +276,76 @@ def packed(docs: DataFrame, text: str, meta: list[str]):
     return F.struct(F.col(text).cast("string").alias("text"), *[F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(meta)])
 
 
+SPARSE = "id_hash long, y int, grp int, a_at binary, a binary, b_at binary, b binary"
+
+
+def sparse(vector: np.ndarray) -> tuple[bytes, bytes]:
+    at = np.flatnonzero(vector)
+    return at.astype(np.uint16).tobytes(), vector[at].astype(np.float32).tobytes()
+
+
+def dense(at: list[bytes], values: list[bytes], size: int) -> np.ndarray:
+    out = np.zeros((len(at), size), dtype=np.float32)
+    row = np.repeat(np.arange(len(at)), [len(x) // 2 for x in at])
+    out[row, np.frombuffer(b"".join(at), dtype=np.uint16)] = np.frombuffer(b"".join(values), dtype=np.float32)
+    return out
+
+
+SIZES = 1 << TEXT_BITS, len(meta_features("", []))
+DENSE_ROWS = 250
+
+
+def dense_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Labels, features by view, and groups of some documents at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, DENSE_ROWS):
+            part = batch.slice(i, DENSE_ROWS)
+            col = lambda name: part.column(name).to_pylist()  # noqa: B023, E731
+            yield (part.column("y").to_numpy(zero_copy_only=False), [dense(col("a_at"), col("a"), SIZES[0]), dense(col("b_at"), col("b"), SIZES[1])],
+                   part.column("grp").to_numpy(zero_copy_only=False))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        both = [view_features(r) for r in batch.column("row").to_pylist()]
-        kind = pa.binary()
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([a.tobytes() for a, _ in both], kind), pa.array([b.tobytes() for _, b in both], kind)], names=["y", "a", "b"])
+        rows = batch.column("row").to_pylist()
+        coded = [(*sparse(a), *sparse(b)) for a, b in map(view_features, rows)]
+        group = [zlib.crc32(repr([v for k, v in r.items() if k != "text"]).encode()) % GROUPS for r in rows]
+        cols = list(zip(*coded)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([batch.column("id_hash"), batch.column("y"), pa.array(group, pa.int32()), *[pa.array(c, pa.binary()) for c in cols]],
+                                         names=["id_hash", "y", "grp", "a_at", "a", "b_at", "b"])
+
+
+def featured(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, meta: tuple[str, ...], max_labelled: int) -> DataFrame | None:
+    """Sparse features of all documents, written; ``y`` is the label of those picked to be fitted, else -1."""
+    place = lambda *c: F.pmod(F.xxhash64(F.lit(1), *c), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("y"))
+    n_labels = known.count()
+    if not n_labels:
+        return None
+    picked = known.filter(place("_id") < min(1.0, max_labelled / n_labels))  # about max_labelled rows
+    rows = docs.select(F.col(id_col).alias("_id"), packed(docs, text, list(meta)).alias("row")).join(F.broadcast(picked), "_id", "left")
+    return stored(rows.select(F.xxhash64("_id").alias("id_hash"), F.coalesce("y", F.lit(-1)).alias("y"), "row").mapInArrow(_features, SPARSE), "features")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", meta: tuple[str, ...] = ("source", "lang"),
-          max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> dict | None:
+          max_labelled: int = MAX_LABELLED) -> dict | None:
     """The fitted model, or None where the labels are not of both kinds."""
     ready(docs.sparkSession)
-    place = lambda salt, *c: F.pmod(F.xxhash64(F.lit(salt), *c), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("y"))
-    n_labels, n_docs = known.count(), docs.count()
-    if not n_labels or not n_docs:
+    rows = featured(docs, labels, id_col, text, label, meta, max_labelled)
+    if rows is None:
         return None
-    picked = known.filter(place(1, "_id") < min(1.0, max_labelled / n_labels))
-    rows = docs.select(F.col(id_col).alias("_id"), packed(docs, text, list(meta)).alias("row"))
-    taught = rows.join(F.broadcast(picked), "_id").select("y", "row")  # about max_labelled narrow rows
-    free = rows.filter(place(2, "_id", "row.text") < min(1.0, max_unlabelled / n_docs)).join(F.broadcast(picked), "_id", "left_anti").select(F.lit(-1).alias("y"), "row")
-    told = taught.union(free).mapInArrow(_features, "y int, a binary, b binary").toArrow()
-    y = np.array(told["y"].to_pylist(), dtype=np.float64)
+    # One row an id, however often it repeats; sorted by content, as the order of delivery must not matter.
+    one = rows.filter("y >= 0").groupBy("id_hash").agg(F.min(F.struct("y", "grp", "a_at", "a", "b_at", "b")).alias("r")).select("r.*")
+    told = one.toArrow().combine_chunks().to_batches()
+    parts = list(dense_batches(iter(told)))
+    y = np.concatenate([p[0] for p in parts]).astype(np.float64) if parts else np.zeros(0)
     if not (y == 0).any() or not (y == 1).any():
         return None
-    views = [np.frombuffer(b"".join(told[c].to_pylist()), dtype=np.float32).reshape(len(y), -1) for c in ("a", "b")]
-    del told
-    # The order in which Spark delivers rows must not matter: sort by content.
+    views = [np.concatenate([p[1][v] for p in parts]) for v in (0, 1)]
+    del told, parts
     order = np.lexsort((views[0].sum(axis=1), views[1].sum(axis=1), y))
     y, views = y[order], [v[order] for v in views]
-    has = y >= 0
-    held = np.arange(int(has.sum())) % 3 == 0
-    return cotrain([v[has] for v in views], y[has], [v[~has] for v in views], held)
+    return cotrain(views, y, Pool(rows.filter("y < 0")), np.arange(len(y)) % 3 == 0)
 
 
 def combine(model: dict, a: np.ndarray, b: np.ndarray) -> list[tuple[float, float, float]]:

@@ -1,13 +1,17 @@
 """Operators that look at one text at a time, against their definitions and public libraries."""
 
 import hashlib
+import math
 import os
 import re
 import struct
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basketlens.llm import bpe, cotraining, language_id, quality_rules, token_counts
+from basketlens.llm.common import table
 from basketlens.llm.queries import PIECES, QUERIES, WORD_BPE
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,3 +157,65 @@ def test_cotraining_defined_results(spark, docs, nothing):
     labels = spark.createDataFrame([(k, int(k < 10)) for k in range(1, 21)] + [(99, 0), (3, None), (1, 1)], "doc_id long, quality int")
     scored = cotraining.score(docs, cotraining.train(docs, labels)).collect()
     assert len(scored) == docs.count() and all(0 < r.quality_view.score < 1 for r in scored)
+
+
+class InMemory:
+    """The pool by plain loops over all documents."""
+
+    def __init__(self, rows):
+        self.views = [cotraining.dense([r[f"{v}_at"] for r in rows], [r[v] for r in rows], size) for v, size in zip("ab", cotraining.SIZES)]
+        self.group, self.size = [r.grp for r in rows], len(rows)
+
+    def histograms(self, models):
+        out = np.zeros((2, cotraining.BINS), dtype=np.int64)
+        for v, (model, x) in enumerate(zip(models, self.views)):
+            for odds in model.odds(x):
+                out[v, min(max(math.floor((odds + 32) * 64), 0), 4095)] += 1
+        return out
+
+    def slots(self, models, cuts):
+        found = {}
+        for me, cut in enumerate(cuts):
+            if cut is not None:
+                for odds, other, g in zip(models[me].odds(self.views[me]), self.views[1 - me], self.group):
+                    at = min(max(math.floor((odds + 32) * 64), 0), 4095)
+                    if at <= cut[0] or at >= cut[1]:
+                        n, sums = found.get((me, int(at >= cut[1]), g), (0, 0))
+                        found[me, int(at >= cut[1]), g] = (n + 1, sums + np.rint(other.astype(np.float64) * (1 << 20)).astype(np.int64))
+        return found
+
+
+def test_cotraining_exchanges_over_all_documents_as_plain_loops_do(spark, folder, monkeypatch):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    labelled = labels.select("doc_id").distinct().count()
+    seen, real = [], cotraining.Pool
+
+    def both(rows):
+        seen.append((real(rows), InMemory(rows.collect())))
+        return seen[-1][0]
+    monkeypatch.setattr(cotraining, "Pool", both)
+    more = docs.unionByName(docs.filter("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id") + 10 ** 6)).repartition(5)
+    models = [cotraining.train(d, labels) for d in (docs, more)]
+    assert [m["pool"] for m in models] == [docs.count() - labelled, 2 * docs.count() - labelled]  # it grows with the table
+    assert all(m["rounds"] == cotraining.ROUNDS for m in models)
+    monkeypatch.setattr(cotraining, "Pool", lambda rows: seen[0][1])
+    plain = cotraining.train(docs.repartition(3), labels)
+    for a, b in zip(models[0]["views"], plain["views"]):
+        for x, y in zip(a, b):
+            assert np.allclose(x, y, atol=1e-9)
+
+
+def test_limits_take_whole_bins_and_never_cross_the_middle():
+    h = np.zeros(cotraining.BINS, dtype=np.int64)
+    h[[10, 2000, 2100, 4000]] = 5, 5, 5, 50
+    assert cotraining.limits(h, 20, 0.5) == (2000, 4000) and cotraining.limits(h, 10, 0.5) == (10, 4000)
+    assert cotraining.limits(h, 1000, 0.5) == (2047, 2048) and cotraining.limits(h * 0, 10, 0.5) == (2047, 2048)
+
+
+def test_a_labelled_id_that_fills_the_table_counts_once(spark, docs):
+    labels = spark.createDataFrame([(k, int(k < 10)) for k in range(1, 21)], "doc_id long, quality int")
+    copies = docs.filter("doc_id = 12").limit(1).crossJoin(spark.range(3000)).select(*docs.columns[:-1], docs["id"])
+    rows = cotraining.featured(docs.unionAll(copies), labels, "doc_id", "text", "quality", ("source", "lang"), 100)
+    assert rows.filter("y >= 0").count() > 3000 and rows.filter("y >= 0").select("id_hash").distinct().count() == 20
+    a, b = cotraining.train(docs, labels), cotraining.train(docs.unionAll(copies), labels)
+    assert all(np.allclose(x[2], y[2]) for x, y in zip(a["views"], b["views"]))
