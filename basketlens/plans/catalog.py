@@ -15,6 +15,7 @@ from ..operators import customers as C
 from ..operators import quality as Q
 from ..operators import slicers as S
 from ..operators.funnel import funnel, funnel_by
+from ..operators.requests import table_totals
 from ..operators.trend import trend
 from ..session import prepare
 from ..sources import blocks, cleaning, raw_csv, store
@@ -56,6 +57,31 @@ LABELLED = {"coded": {"cat": "2", "pay": "1", "month": "6"}, "text": {"bucket":
             "absent": {"cat": "99", "loc": "16", "utype": "1.0"}}
 
 
+# Requests of a table, as (key, which requests name it, the text they give): unusable and absent values among them.
+REQUESTS = 5000
+ASKED = [
+    ("cat", "id % 3 = 0", "CAST(id % 9 AS STRING)"), ("pay", "id % 5 = 1", "concat(' ', id % 7, '.0')"),
+    ("month", "id % 4 = 2", "CAST(id % 14 AS STRING)"),
+    ("from", "id % 6 = 3", "date_format(date_add(DATE '1992-01-01', CAST(id * 37 % 2500 AS INT)), IF(id % 2 = 0, 'yyyy-MM-dd', 'dd/MM/yyyy'))"),
+    ("to", "id % 7 = 4", "IF(id % 49 = 4, '31-02-1997', date_format(date_add(DATE '1993-01-01', CAST(id * 53 % 2200 AS INT)), 'yyyy/MM/dd'))"),
+    ("utype", "id % 11 = 5", "IF(id % 2 = 0, 'abc', '1')"), ("seg", "id % 13 = 6", "element_at(array('high', 'mid', 'core', 'window', 'none'), CAST(id % 5 AS INT) + 1)"),
+    ("dbucket", "id % 10 = 7", "CAST(id % 6 AS STRING)"), ("pband", "id % 10 = 8", "CAST(id % 4 AS STRING)"),
+    ("bucket", "id % 12 = 9", "element_at(array('Long', 'Short', 'Very Long', 'nope', ' '), CAST(id % 5 AS INT) + 1)"),
+    ("purch", "id % 8 = 1", "CAST(id % 3 AS STRING)"), ("rmin", "id % 9 = 2", "CAST(id % 6 AS STRING)"),
+    ("dmin", "id % 14 = 3", "CAST(id % 30 AS STRING)"), ("dmax", "id % 15 = 4", "IF(id % 2 = 0, '1e300', CAST(id % 30 AS STRING))"),
+    ("loc", "id % 17 = 2", "CAST(id % 30 AS STRING)"), ("dev", "id % 19 = 1", "CAST(id % 4 AS STRING)"), ("chan", "id % 21 = 3", "concat(id % 5, 'e0')"),
+    ("nokey", "id % 23 = 0", "'1'")]
+
+
+def _requests(spark: SparkSession) -> DataFrame:
+    cells = ", ".join(f"'{key}', IF({test}, {text}, NULL)" for key, test, text in ASKED)
+    return spark.range(REQUESTS).selectExpr("concat('r', id) AS request_id", f"stack({len(ASKED)}, {cells}) AS (key, value)")
+
+
+def _slice_table(spark: SparkSession, folder: str) -> DataFrame:
+    return table_totals(sessions(spark, folder), _requests(spark))
+
+
 def _sliced(args: dict[str, str]) -> Query:
     return lambda spark, folder: A.totals(S.apply_slicers(sessions(spark, folder), args))
 
@@ -223,6 +249,7 @@ QUERIES: dict[str, Query] = {
     # slicers
     **{name: _sliced(args) for name, args in SLICES.items()},
     "slice_batch": _on_sessions(lambda df: S.slice_totals(df, BATCH)),
+    "slice_table": _slice_table,
     "slice_date_forms": _on_sessions(lambda df: S.slice_totals(
         df, DATE_FORMS, ["sessions", "purchases", "revenue"])),
     "slice_labels": _on_sessions(lambda df: S.slice_labels(df, LABELLED)),

@@ -275,6 +275,32 @@ CSV_QUOTED = RAW + """, k AS (SELECT *, CAST(session_id AS BIGINT) AS k FROM raw
   UNION ALL SELECT NULL, NULL, 'too,few' FROM k WHERE k%103=7 AND k%101<>5"""
 
 
+# Requests of a table, as what their texts mean; null where a request does not ask or its text cannot be used.
+ASKED = """
+q AS (SELECT 'r' || i AS request_id, CASE WHEN i%3=0 THEN i%9 END AS cat, CASE WHEN i%5=1 THEN i%7 END AS pay, CASE WHEN i%4=2 THEN i%14 END AS month,
+  CASE WHEN i%6=3 THEN DATE '1992-01-01' + CAST(i*37%2500 AS INT) END AS lo,
+  CASE WHEN i%49=4 THEN DATE '1997-02-28' WHEN i%7=4 THEN DATE '1993-01-01' + CAST(i*53%2200 AS INT) END AS hi,
+  CASE WHEN i%11=5 AND i%2=1 THEN 1 END AS utype, CASE WHEN i%13=6 AND i%5<4 THEN ['high','mid','core','window'][i%5+1] END AS seg,
+  CASE WHEN i%10=7 AND i%6<4 THEN i%6 END AS dbucket, CASE WHEN i%10=8 THEN i%4 END AS pband,
+  CASE WHEN i%12=9 AND i%5<3 THEN ['Long','Short','Very Long'][i%5+1] END AS bucket, CASE WHEN i%8=1 THEN i%3 END AS purch,
+  CASE WHEN i%9=2 THEN i%6 END AS rmin, CASE WHEN i%14=3 THEN i%30 END AS dmin, CASE WHEN i%15=4 AND i%2=1 THEN i%30 END AS dmax,
+  CASE WHEN i%17=2 THEN i%30 END AS loc, CASE WHEN i%19=1 THEN i%4 END AS dev, CASE WHEN i%21=3 THEN i%5 END AS chan FROM range(5000) r(i)),
+known AS (SELECT * REPLACE (CASE WHEN bucket IN (SELECT duration_bucket FROM sessions) THEN bucket END AS bucket) FROM q),
+people AS (SELECT customer_id, CASE WHEN COUNT(*) FILTER (purchased=1)=0 THEN 'window' ELSE MIN(seg) END AS seg FROM sessions LEFT JOIN bs USING (customer_id) GROUP BY 1),
+ss AS (SELECT s.*, p.seg, CASE WHEN discount_percent=0 THEN 0 WHEN discount_percent>0 AND discount_percent<=10 THEN 1 WHEN discount_percent>10 AND discount_percent<=20 THEN 2
+    WHEN discount_percent>20 AND discount_percent<=30 THEN 3 END AS dbucket,
+  CASE WHEN unit_cents<=50000 THEN 0 WHEN unit_cents<=100000 THEN 1 WHEN unit_cents<=150000 THEN 2 WHEN unit_cents<=200000 THEN 3 END AS pband
+  FROM sessions s LEFT JOIN people p ON p.customer_id IS NOT DISTINCT FROM s.customer_id)"""
+ASKS = " AND ".join([*[f"(q.{k} IS NULL OR {c}=q.{k})" for k, c in {
+    "cat": "product_category", "pay": "payment_method", "month": "visit_month", "utype": "user_type", "seg": "ss.seg", "dbucket": "ss.dbucket", "pband": "ss.pband",
+    "bucket": "duration_bucket", "purch": "purchased", "loc": "location", "dev": "device_type", "chan": "marketing_channel"}.items()],
+    *[f"(q.{k} IS NULL OR {c}{op}q.{k})" for k, c, op in [
+        ("lo", "visit_date", ">="), ("hi", "visit_date", "<="), ("rmin", "rating", ">="), ("dmin", "discount_percent", ">="), ("dmax", "discount_percent", "<=")]]])
+SLICE_TABLE = SESSIONS + BUYER_SEGMENTS + f""",{ASKED},
+got AS (SELECT request_id, {metrics(TOTALS, True)} FROM known q JOIN ss ON {ASKS} GROUP BY request_id)
+SELECT q.request_id, {', '.join(f'COALESCE({m},0) AS {m}' for m in TOTALS)} FROM q LEFT JOIN got USING (request_id)"""
+
+
 TABLES = {
     "ingest_clean": CLEAN + CLEAN_COLUMNS + " FROM clean",
     "ingest_store_rows": CLEAN + CLEAN_COLUMNS.replace("SELECT", "SELECT DISTINCT", 1) + " FROM clean",
@@ -302,6 +328,7 @@ TABLES = {
     **{n: SESSIONS + (BUYER_SEGMENTS if n.startswith("seg_") else "")
        + f"SELECT {metrics(TOTALS, True)} FROM sessions WHERE {w}" for n, w in SLICES.items()},
     "slice_batch": per_request({n: SLICES[n] for n in BATCH}, TOTALS),
+    "slice_table": SLICE_TABLE,
     "slice_date_forms": per_request(DATE_FORMS, ["sessions", "purchases", "revenue"]),
     "slice_labels": SESSIONS + LABELS,
     "segments": SEGMENTS + "SELECT * FROM segments",
