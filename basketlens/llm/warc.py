@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ready, scratch
+from .common import hot_join, ready, scratch, stored
 
 # The digit sets of conv() and of RFC 4648 base32, the WARC version line and date.
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -82,29 +82,42 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     return path
 
 
-def read_archive(spark: SparkSession, path: str, want: dict[str, Column] | None = None) -> DataFrame:
-    """``id, header`` and what is wanted of the payload that each record stands for.
+def read_archive(spark: SparkSession, path: str, want: dict[str, Column] | None = None, where: Column | None = None) -> DataFrame:
+    """``id, header`` and what is wanted of the payload that each record (``where`` says which) stands for.
 
     ``want`` names expressions over column ``payload`` (default: the payload itself). They are
     computed where the bytes lie, before the join, so only what is asked for moves. Spark splits
     the join where many records share one payload.
     """
     records = spark.read.schema("id bigint, sha256 string, header string").parquet(f"{path}/records")
-    stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads").select(
+    records = records if where is None else records.filter(where)
+    payloads = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads").select(
         "sha256", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload"))
         .otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("sha256"))).cast("binary")).alias("payload"))
     want = want or {"payload": F.col("payload")}
-    asked = stored.select("sha256", F.lit(True).alias("found"), *[c.alias(name) for name, c in want.items()])
+    asked = payloads.select("sha256", F.lit(True).alias("found"), *[c.alias(name) for name, c in want.items()])
     whole = records.join(asked, "sha256", "left")
     present = F.coalesce("found", F.raise_error(F.concat(F.lit("missing payload "), F.col("sha256"))).cast("boolean"))
     return whole.filter(present).select("id", "header", *want)
 
 
 def records_of(spark: SparkSession, path: str) -> DataFrame:
-    """``id, record``: whole WARC records as bytes; a revisit carries no payload."""
-    gap = F.encode(F.lit(END), "UTF-8")
-    body = F.when(field("WARC-Type") == "revisit", F.encode(F.lit(""), "UTF-8")).otherwise(F.col("payload"))
-    return read_archive(spark, path).select("id", F.concat(F.encode("header", "UTF-8"), gap, body, gap, gap).alias("record"))
+    """``id, record``: whole WARC records as bytes; a revisit carries no payload, so none is moved to it."""
+    gap, bare = F.encode(F.lit(END), "UTF-8"), F.encode(F.lit(""), "UTF-8")
+    whole = lambda body: F.concat(F.encode("header", "UTF-8"), gap, body, gap, gap).alias("record")
+    revisit = field("WARC-Type") == "revisit"
+    headers = spark.read.schema("id bigint, sha256 string, header string").parquet(f"{path}/records").filter(revisit)
+    return read_archive(spark, path, where=~revisit).select("id", whole(F.col("payload"))).unionAll(headers.select("id", whole(bare)))
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    """What the bytes of records say: ``id, kind, refers_to, sha1`` from the header, ``payload_bytes,
+    payload_digest`` of the payload that is there."""
+    told = records.withColumn("header", F.concat(F.substring_index(F.col("record").cast("string"), END + END, 1), F.lit(END)))
+    length = field("Content-Length").try_cast("int")
+    told = told.withColumn("payload", F.substring("record", F.octet_length("header") + len(END) + 1, length))
+    return told.select("id", field("WARC-Type").alias("kind"), page_of(field("WARC-Refers-To")).alias("refers_to"), field("WARC-Payload-Digest").alias("sha1"),
+                       F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
 
 
 def field(name: str) -> Column:
@@ -118,9 +131,14 @@ def page_of(ref: Column) -> Column:
 
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write the pages to an archive in the shared folder, read it back, and describe each record."""
+    """Write the pages to an archive in the shared folder, rebuild its records, and describe each by its
+    bytes; a revisit's payload is that of the response to which it refers."""
     spark = pages.sparkSession
-    back = read_archive(spark, write_archive(pages, scratch(spark, "warc"), min_bytes=min_bytes), {
-        "payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": base32_sha1(F.col("payload"))})
-    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
-                       field("WARC-Type").alias("record_type"), page_of(field("WARC-Refers-To")).alias("refers_to"))
+    rows = stored(parsed(records_of(spark, write_archive(pages, scratch(spark, "warc"), min_bytes=min_bytes))), "warc-parsed")
+    response = rows.filter("kind = 'response'")
+    again = rows.filter("kind = 'revisit'").select("id", "kind", "refers_to", "sha1")
+    # One row per response that is referred to; a page that a third of all rows repeat is joined by broadcast.
+    known = response.groupBy(F.col("id").alias("refers_to"), "sha1").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    known = stored(known.join(again.groupBy("refers_to", "sha1").agg(F.count("*").alias("times")), ["refers_to", "sha1"]), "warc-known")
+    both = response.select("id", "kind", "refers_to", "payload_bytes", "payload_digest").unionByName(hot_join(again, known, ["refers_to", "sha1"], "times").drop("sha1"))
+    return both.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
