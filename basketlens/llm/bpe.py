@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 from .common import ready, text_udf
 
 MAX_FILE_BYTES = 64 << 20  # a tokenizer file beyond this is refused rather than broadcast
-CACHED_WORDS = 400_000  # encodings a task keeps between batches before it starts afresh
+CACHED_WORDS = 200_000  # encodings a task keeps between batches before it starts afresh
 # The Unicode White_Space class, which the normalizer's and the split pattern's \s mean.
 WHITE = r"\p{White_Space}"
 KIND = pa.struct([("ids", pa.binary()), ("n_tokens", pa.int64())])

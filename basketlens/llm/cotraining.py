@@ -31,13 +31,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
-from .common import ready, stored, structs
+from .common import ready, stored, structs, tidied, tidy
 
 MAX_LABELLED = 4000
 TEXT_BITS = 12  # size of the hashed text features
@@ -207,7 +206,7 @@ class Pool:
             view, at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(view), pa.array(at), pa.array(total[view, at])], names=["view", "bin", "n"])
 
-        told = self.rows.mapInArrow(run, "view long, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).toArrow()
+        told = self.rows.mapInArrow(tidied(run), "view long, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).toArrow()
         out = np.zeros((2, BINS), dtype=np.int64)
         out[told["view"].to_numpy(), told["bin"].to_numpy()] = told["n"].to_numpy()
         return out
@@ -224,13 +223,14 @@ class Pool:
             cols = list(zip(*[(*key, part, n, sums.tobytes()) for key, (n, sums) in total.items()])) or [[] for _ in range(6)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(cols)], names=["teacher", "label", "grp", "part", "n", "sums"])
 
-        def add(rows: pd.DataFrame) -> pd.DataFrame:
-            sums = sum(np.frombuffer(x, dtype=np.int64) for x in rows.sums)
-            return rows.head(1).assign(n=int(rows.n.sum()), sums=[sums.tobytes()])
+        def add(rows: pa.Table) -> pa.Table:
+            sums = sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in rows["sums"])
+            first = rows.slice(0, 1).drop_columns(["n", "sums"])
+            return first.append_column("n", pa.array([sum(rows["n"].to_pylist())], pa.int64())).append_column("sums", pa.array([sums.tobytes()], pa.binary()))
 
-        each = self.rows.mapInArrow(run, kind)
-        some = each.withColumn("part", F.col("part") % 64).groupBy("teacher", "label", "grp", "part").applyInPandas(add, kind)
-        told = some.groupBy("teacher", "label", "grp").applyInPandas(add, kind).collect()
+        each = self.rows.mapInArrow(tidied(run), kind)
+        some = each.withColumn("part", F.col("part") % 64).groupBy("teacher", "label", "grp", "part").applyInArrow(add, kind)
+        told = some.groupBy("teacher", "label", "grp").applyInArrow(add, kind).collect()
         return {(r.teacher, r.label, r.grp): (r.n, np.frombuffer(r.sums, dtype=np.int64)) for r in told}
 
 
@@ -324,7 +324,7 @@ def featured(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label:
         return None
     picked = known.filter(place("_id") < min(1.0, max_labelled / n_labels))  # about max_labelled rows
     rows = docs.select(F.col(id_col).alias("_id"), packed(docs, text, list(meta)).alias("row")).join(F.broadcast(picked), "_id", "left")
-    return stored(rows.select(F.xxhash64("_id").alias("id_hash"), F.coalesce("y", F.lit(-1)).alias("y"), "row").mapInArrow(_features, SPARSE), "features")
+    return stored(rows.select(F.xxhash64("_id").alias("id_hash"), F.coalesce("y", F.lit(-1)).alias("y"), "row").mapInArrow(tidied(_features), SPARSE), "features")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", meta: tuple[str, ...] = ("source", "lang"),
@@ -375,6 +375,7 @@ def score(docs: DataFrame, model: dict | None, text: str = "text", meta: tuple[s
                 if both:
                     found += combine(shared.value, np.stack([a for a, _ in both]), np.stack([b for _, b in both]))
             yield structs(KIND, found)
+        tidy()
 
     scored = docs.withColumn(out, F.arrow_udf(run, returnType=from_arrow_type(KIND)).asNondeterministic()(packed(docs, text, list(meta))))
     return scored.withColumn(out, F.col(out).withField("kept", F.col(f"{out}.score") >= threshold))

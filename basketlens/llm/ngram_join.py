@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import ready, stored, texts_of, width
+from .common import ready, stored, texts_of, tidied, width
 from .components import components
 from .lm_scoring import pack_keys, squeeze, unpack_keys, widen
 from .shingles import GAP, Hasher, mix, node_of
@@ -313,9 +313,9 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame
     """Those of the distinct pairs (a, b) whose full sets are similar enough."""
     wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "rep"), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= SMALL_SIDE else wanted
-    sets = stored(rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("node", "text").mapInArrow(to_sets, "node bigint, shingles binary"), "sets")
+    sets = stored(rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("node", "text").mapInArrow(tidied(to_sets), "node bigint, shingles binary"), "sets")
     named = lambda key, value: sets.select(F.col("node").alias(key), F.col("shingles").alias(value))
-    return stored(pairs.join(named("b", "y"), "b").join(named("a", "x"), "a").mapInArrow(verify, PAIR_DDL), "similar")
+    return stored(pairs.join(named("b", "y"), "b").join(named("a", "x"), "a").mapInArrow(tidied(verify), PAIR_DDL), "similar")
 
 
 def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,7 @@ def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     named = lambda key, size, value: classes.select(F.col("node").alias(key), F.col("n").alias(size), F.col("sketch").alias(value))
-    return pairs.join(named("b", "nb", "y"), "b").join(named("a", "na", "x"), "a").mapInArrow(promising, PAIR_DDL)
+    return pairs.join(named("b", "nb", "y"), "b").join(named("a", "na", "x"), "a").mapInArrow(tidied(promising), PAIR_DDL)
 
 
 def open_members(members: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
@@ -413,7 +413,7 @@ def linked(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     null without shingles or id."""
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    told = stored(rows.withColumn("t", F.xxhash64("text")).mapInArrow(describe, DOC_DDL), "shingle-counts")
+    told = stored(rows.withColumn("t", F.xxhash64("text")).mapInArrow(tidied(describe), DOC_DDL), "shingle-counts")
     classes = stored(told.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "shingle-classes")
     largest, total = classes.agg(F.coalesce(F.max("n"), F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -421,7 +421,7 @@ def linked(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     band = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("n"))) - 1
     labels = labels_for({r["band"]: r["k"] for r in classes.groupBy(band.alias("band")).agg(F.count("*").alias("k")).collect()}, bounds)
     bits = max(0, math.ceil(math.log2(max(1, total // 2) / SHARD_ENTRIES)))
-    entries = rows.filter("doc_id IS NOT NULL").select("text").mapInArrow(emit(labels, bounds, bits), ENTRY_DDL)
+    entries = rows.filter("doc_id IS NOT NULL").select("text").mapInArrow(tidied(emit(labels, bounds, bits)), ENTRY_DDL)
     found = stored(entries.groupBy("shard").applyInPandas(group, GROUP_DDL), "shingle-groups")
 
     first = stored(sketched(found.filter("kind = 0").select("a", "b").distinct(), classes), "pairs")
