@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # A plain decimal literal; keeps Java-only spellings such as "12d" or "NaN" out.
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -56,12 +56,23 @@ def out_of_range(text: Column, typed: Column) -> Column:
     return typed.isNull() & text.rlike(NUMERIC_TEXT)
 
 
+def _holds_doubles(kind: T.DataType) -> bool:
+    inner = {T.StructType: lambda: [f.dataType for f in kind.fields], T.ArrayType: lambda: [kind.elementType], T.MapType: lambda: [kind.valueType]}
+    return isinstance(kind, (T.DoubleType, T.FloatType)) or any(map(_holds_doubles, inner.get(type(kind), list)()))
+
+
+def _json_value(col: Column, kind: T.DataType) -> Column:
+    if not _holds_doubles(kind):
+        return col
+    if isinstance(kind, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[_json_value(col.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: _json_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(col, lambda _, x: _json_value(x, kind.valueType))
+    return F.when(~F.isnan(col) & (F.abs(col) != F.lit(float("inf"))), col)
+
+
 def json_safe(df):
-    """NaN and infinities become null in every floating column."""
-    def safe(name, kind):
-        col = F.col(name)
-        if kind not in ("double", "float"):
-            return col
-        return F.when(F.isnan(col) | (F.abs(col) == F.lit(float("inf"))), None).otherwise(col).alias(name)
-
-    return df.select(*[safe(n, k) for n, k in df.dtypes])
+    """NaN and infinities become null in every floating value, inside structs, arrays and maps too."""
+    return df.select(*[_json_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

@@ -137,6 +137,11 @@ def test_json_safe(spark):
     from basketlens.functions.numbers import json_safe
     df = spark.sql("SELECT double('NaN') AS a, double('Infinity') AS b, 1.5D AS c, 'x' AS d")
     assert tuple(json_safe(df).first()) == (None, None, 1.5, "x")
+    nested = spark.sql("""SELECT named_struct('a', double('NaN'), 'b', array(1D, double('-Infinity'), NULL), 'c', 7) AS s,
+        map('k', array(named_struct('v', float('Infinity'), 'w', 'x')), 'n', NULL) AS m, CAST(NULL AS struct<a: double>) AS n, array(1, 2) AS i""")
+    safe = json_safe(nested)
+    assert safe.schema.simpleString() == nested.schema.simpleString()
+    assert safe.first().asDict(recursive=True) == {"s": {"a": None, "b": [1.0, None, None], "c": 7}, "m": {"k": [{"v": None, "w": "x"}], "n": None}, "n": None, "i": [1, 2]}
 
 
 def test_invariants(spark, sessions):
