@@ -49,7 +49,8 @@ class Cube:
             keys |= {"granularity": F.col("_unit"), "bucket": F.col("_bucket")}
             needs |= {"first_day"}
         cube = base_aggregates(df, keys, needs).checkpoint()
-        self.rows = cube.coalesce(1) if cube.count() <= SMALL_CUBE else cube
+        # In one piece, as every fold reads it again.
+        self.rows = cube.coalesce(1).checkpoint() if cube.count() <= SMALL_CUBE else cube
 
     def empty(self) -> bool:
         return self.rows.isEmpty()
