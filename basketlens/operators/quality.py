@@ -316,6 +316,13 @@ def sku_stability(df: DataFrame) -> DataFrame:
             .orderBy("categories"))
 
 
+def split_products(df: DataFrame) -> DataFrame:
+    """Number of products, and of those seen in several categories (one row)."""
+    seen = df.filter(F.col("product_id").isNotNull()).groupBy("product_id").agg(
+        F.min("product_category").alias("low"), F.max("product_category").alias("high"))
+    return seen.agg(F.count(F.lit(1)).alias("products"), F.count_if(F.col("low") < F.col("high")).alias("split"))
+
+
 def code_crosstab(raw: DataFrame, parsed_date: Column | None = None) -> DataFrame:
     """Do the shipped weekday and season codes agree with the date? Counts per pair."""
     day = F.try_to_date(F.trim("visit_date"), "d-M-yyyy") if parsed_date is None else parsed_date

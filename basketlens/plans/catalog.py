@@ -218,6 +218,9 @@ def _page(name: str, args: dict[str, str] | None = None) -> Query:
     return _on_sessions(lambda df: pages.PAGES[name](S.apply_slicers(df, args or {})))
 
 
+# A slice that is shown by weeks.
+WEEKS = {"cat": "2", "from": "1997-03-01", "to": "1997-09-30"}
+
 GROUPS = {f"group_{dim}": _on_sessions(lambda df, dim=dim: A.group(df, dim, GROUP_METRICS))
           for dim in DIMENSIONS}
 OPTIONS = {f"options_{key}": _on_sessions(lambda df, key=key: S.slicer_options(df, key))
@@ -300,8 +303,10 @@ QUERIES: dict[str, Query] = {
     "page_customers": _page("customers"),
     "page_conversion": _page("conversion"),
     "page_categories": _page("categories"),
-    "page_overview_sliced": _page("overview", {"cat": "2", "from": "1997-03-01", "to": "1997-09-30"}),
+    "page_overview_sliced": _page("overview", WEEKS),
     "page_overview_seg": _page("overview", {"seg": "high"}),
+    "pages_all": _on_sessions(pages.every_page),
+    "pages_all_sliced": _on_sessions(lambda df: pages.every_page(S.apply_slicers(df, WEEKS))),
     "page_empty": _page("overview", {"cat": "99"}),
     "findings": _on_sessions(pages.findings),
 }

@@ -52,9 +52,10 @@ def chart(section: int, item: str, series: Sequence[Series], kind: str = "chart"
             for name, column, how in series]
 
 
-def finding(section: int, item: str, cells: Sequence[tuple[str, str | None, str, str]]) -> list[Cell]:
+def finding(section: int, item: str, cells: Sequence[tuple[str, str | None, str, str]],
+            kind: str = "finding") -> list[Cell]:
     """Finding of a one-row frame; cells are (measure, label SQL, value column, display kind)."""
-    return [(section, "finding", item, str(i), measure, NULL_TEXT, label or NULL_TEXT, column, how)
+    return [(section, kind, item, str(i), measure, NULL_TEXT, label or NULL_TEXT, column, how)
             for i, (measure, label, column, how) in enumerate(cells, 1)]
 
 

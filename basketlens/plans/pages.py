@@ -2,22 +2,25 @@
 
 A page reads the sliced sessions at most twice: once for a cube of additive base aggregates
 over the page's few coded dimensions (hundreds of rows, checkpointed), and once for the
-customer rollup where customers are shown. Every tile and chart is folded from those.
+customer rollup or the products where those are shown. Every tile and chart is folded from
+those. All four pages together read them twice as well (``every_page``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dimensions import DIMENSIONS
-from ..functions.metrics import closed, needed_bases
+from ..functions.metrics import ADDITIVE, closed, merged, needed_bases
 from ..functions.numbers import percent
 from ..model import DURATION_ORDER
 from ..operators import customers as C
 from ..operators.aggregate import base_aggregates, fold, zero_filled
 from ..operators.funnel import funnel_rows
+from ..operators.quality import split_products
 from ..operators.trend import bucket_key, finish_trend, fitting_granularity
 from ..session import literal, prepare
 from . import frames
@@ -31,26 +34,40 @@ TREND_METRICS = ["revenue", "sessions", "purchases", "conversion"]
 SMALL_CUBE = 100_000
 
 
+def small_piece(cube: DataFrame) -> DataFrame:
+    """The cube, pinned; a small one in one piece, as every fold reads it again."""
+    cube = cube.checkpoint()
+    return cube.coalesce(1).checkpoint() if cube.count() <= SMALL_CUBE else cube
+
+
+def by_bucket(df: DataFrame) -> DataFrame:
+    """Add the granularity that fits the span of the rows, and each row's bucket."""
+    return df.withColumn("granularity", fitting_granularity(df)).withColumn(
+        "bucket", bucket_key(F.col("granularity"), F.col("visit_date")))
+
+
 class Cube:
     """Additive base aggregates over some dimensions of the sliced sessions.
 
     It holds one row per combination of codes shown on a page. While that is a small number it is
     brought together, and everything folded from it runs without a shuffle; a cube that free codes
-    or texts made large stays distributed.
+    or texts made large stays distributed. ``times`` holds the buckets of the trend, if the cube
+    itself does not.
     """
 
-    def __init__(self, df: DataFrame, dims: Iterable[str], metrics: Iterable[str], by_time: bool = False):
+    def __init__(self, rows: DataFrame, times: DataFrame | None = None):
+        self.rows, self.times = rows, rows if times is None else times
+
+    @classmethod
+    def over(cls, df: DataFrame, dims: Iterable[str], metrics: Iterable[str], by_time: bool = False) -> Cube:
         prepare(df.sparkSession)
         keys = {d: DIMENSIONS[d].key() for d in dims}
         needs = needed_bases(metrics) | {"sessions"}
         if by_time:
-            df = df.withColumn("_unit", fitting_granularity(df)).withColumn(
-                "_bucket", bucket_key(F.col("_unit"), F.col("visit_date")))
-            keys |= {"granularity": F.col("_unit"), "bucket": F.col("_bucket")}
+            df = by_bucket(df)
+            keys |= {"granularity": F.col("granularity"), "bucket": F.col("bucket")}
             needs |= {"first_day"}
-        cube = base_aggregates(df, keys, needs).checkpoint()
-        # In one piece, as every fold reads it again.
-        self.rows = cube.coalesce(1).checkpoint() if cube.count() <= SMALL_CUBE else cube
+        return cls(small_piece(base_aggregates(df, keys, needs)))
 
     def empty(self) -> bool:
         return self.rows.isEmpty()
@@ -70,7 +87,7 @@ class Cube:
         return frames.numbered(self.by(dim, metrics), *(order or [F.col("key").asc_nulls_last()]))
 
     def trend(self, metrics: list[str]) -> DataFrame:
-        buckets = fold(self.rows, "granularity", "bucket").withColumnRenamed("bucket", "key")
+        buckets = fold(self.times, "granularity", "bucket").withColumnRenamed("bucket", "key")
         return frames.numbered(finish_trend(buckets, metrics), F.col("key"))
 
     def funnel(self) -> DataFrame:
@@ -94,6 +111,94 @@ class People:
         return C.pareto_curve(self.sums).selectExpr("*", "seg_ord AS ord", "seg_ord AS key", "segment AS label")
 
 
+# Dimensions and metrics of each page's cube, and whether it has a trend.
+CUBES: dict[str, tuple[list[str], list[str], bool]] = {
+    "overview": (["category", "user_type"], ["revenue", "purchases", "conversion", "aov", "abandon_rate"], True),
+    "customers": (["user_type"], ["conversion", "abandon_rate", "revenue"], False),
+    "conversion": (["user_type", "duration", "discount_bucket"],
+                   ["purchases", "carts", "abandoned", "revenue", "discount_correlation"], False),
+    "categories": (["category", "price_band", "payment"],
+                   ["revenue", "purchases", "avg_price", "avg_discount"], False),
+}
+
+
+class Facts:
+    """The sliced sessions behind a page; cube, customers and products take a pass each."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.spark = df, df.sparkSession
+
+    def cube(self, page: str) -> Cube:
+        dims, metrics, by_time = CUBES[page]
+        return Cube.over(self.df, dims, metrics, by_time)
+
+    @cached_property
+    def people(self) -> People:
+        return People(self.df)
+
+    def products(self) -> DataFrame:
+        return split_products(self.df)
+
+
+class SharedFacts(Facts):
+    """The sliced sessions behind all pages, read once for the customers and once for all else.
+
+    The cubes are grouping sets of one aggregation, combined map-side. Days are a set of their own:
+    they give the span as well as the buckets of the trend. So are products, of which a second
+    step leaves two counts, so that the cubes stay as small as the pages' codes.
+    """
+
+    DAY, PRODUCT = ["visit_date"], ["product_id"]
+
+    def __init__(self, df: DataFrame):
+        super().__init__(df)
+        prepare(self.spark)
+        shown = [dims for dims, _, _ in CUBES.values()]
+        # A set inside another one is folded from that.
+        self.sets = [dims for dims in shown if not any(set(dims) < set(other) for other in shown)]
+        self.dims = [d for d in DIMENSIONS if any(d in dims for dims in self.sets)]
+        needs = {"sessions", "first_day"}.union(*[needed_bases(metrics) for _, metrics, _ in CUBES.values()])
+        self.bases = [n for n in ADDITIVE if n in needs]
+        self.rows = small_piece(self._aggregated())
+
+    @property
+    def _names(self) -> list[str]:
+        return [*self.dims, *self.DAY, *self.PRODUCT]
+
+    def _aggregated(self) -> DataFrame:
+        keys = {f"k_{d}": DIMENSIONS[d].key() for d in self.dims}
+        keys |= {f"k_{n}": F.col(n) for n in [*self.DAY, *self.PRODUCT]}
+        sets = [[f"k_{n}" for n in names] for names in [*self.sets, self.DAY, self.PRODUCT]]
+        low, high, product = F.col("_low"), F.col("_high"), F.col("k_product_id")
+        cubes = self.df.withColumns(keys).groupingSets(sets, *keys).agg(
+            *[ADDITIVE[n]().alias(f"b_{n}") for n in self.bases],
+            F.min("product_category").alias("_low"), F.max("product_category").alias("_high"),
+            F.grouping_id().alias("_set"))
+        return cubes.groupBy("_set", *[k for k in keys if k != "k_product_id"]).agg(
+            *[merged(n) for n in self.bases], F.count(product).alias("products"),
+            F.count_if(product.isNotNull() & (low < high)).alias("split"))
+
+    def _of(self, names: list[str]) -> DataFrame:
+        """Rows of one grouping set; its id has a bit for each column left out, the first one highest."""
+        left_out = int("".join("0" if n in names else "1" for n in self._names), 2)
+        return self.rows.filter(F.col("_set") == left_out)
+
+    def _bases(self) -> list[str]:
+        return [f"b_{n}" for n in self.bases]
+
+    def cube(self, page: str) -> Cube:
+        dims, _, by_time = CUBES[page]
+        held = next(names for names in self.sets if set(dims) <= set(names))
+        rows = self._of(held).select(*[F.col(f"k_{d}").alias(d) for d in held], *self._bases())
+        if not by_time:
+            return Cube(rows)
+        days = self._of(self.DAY).select(F.col("k_visit_date").alias("visit_date"), *self._bases())
+        return Cube(rows, by_bucket(days))
+
+    def products(self) -> DataFrame:
+        return self._of(self.PRODUCT).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("products", "split")])
+
+
 def _duration_order() -> Column:
     place = F.array_position(F.array(*[F.lit(d) for d in DURATION_ORDER]), F.col("key"))
     return F.when(place == 0, 9).otherwise(place)
@@ -199,14 +304,21 @@ def conversion_stability(rates: DataFrame, page: str, section: int) -> DataFrame
         ("deviation_points", None, "deviation", "num2")]))
 
 
+def product_note(facts: Facts, page: str, section: int) -> DataFrame:
+    """Why the page has no products: how many of their ids occur in several categories."""
+    one = facts.products().withColumn("share", percent(F.col("split"), F.col("products")))
+    return frames.rows(one, page, frames.finding(section, "product_ids", [
+        ("in_several_categories", None, "split", "count"), ("of_products", None, "products", "count"),
+        ("share", None, "share", "pct2")], "note"))
+
+
 # ------------------------------------------------------------------------------ pages
-def overview(df: DataFrame) -> DataFrame:
-    name = "overview"
-    cube = Cube(df, ["category", "user_type"], ["revenue", "purchases", "conversion", "aov", "abandon_rate"],
-                by_time=True)
+def overview(df: DataFrame, facts: Facts | None = None) -> DataFrame:
+    name, facts = "overview", facts or Facts(df)
+    cube = facts.cube(name)
     if cube.empty():
-        return frames.note(df.sparkSession, name, NO_ROWS)
-    people = People(df)
+        return frames.note(facts.spark, name, NO_ROWS)
+    people = facts.people
     trend = cube.trend(TREND_METRICS)
     return frames.assemble([
         frames.rows(cube.totals(["revenue", "sessions", "conversion", "aov", "abandon_rate"]), name, frames.tiles(1, [
@@ -238,12 +350,12 @@ CATEGORY_TABLE = [
 USER_TYPE_SERIES = [("conversion", "conversion", "pct2"), ("abandonment", "abandon_rate", "pct2")]
 
 
-def customers(df: DataFrame) -> DataFrame:
-    name = "customers"
-    cube = Cube(df, ["user_type"], ["conversion", "abandon_rate", "revenue"])
+def customers(df: DataFrame, facts: Facts | None = None) -> DataFrame:
+    name, facts = "customers", facts or Facts(df)
+    cube = facts.cube(name)
     if cube.empty():
-        return frames.note(df.sparkSession, name, NO_ROWS)
-    people = People(df)
+        return frames.note(facts.spark, name, NO_ROWS)
+    people = facts.people
     head = people.headline().withColumns({
         "revenue_per_customer": F.col("total_revenue") / F.col("total_customers"),
         "sessions_per_customer": people.sums.agg(F.expr("sum(sessions) / sum(customers)")).scalar()})
@@ -272,12 +384,11 @@ def customers(df: DataFrame) -> DataFrame:
     ])
 
 
-def conversion(df: DataFrame) -> DataFrame:
-    name = "conversion"
-    cube = Cube(df, ["user_type", "duration", "discount_bucket"],
-                ["purchases", "carts", "abandoned", "revenue", "discount_correlation"])
+def conversion(df: DataFrame, facts: Facts | None = None) -> DataFrame:
+    name, facts = "conversion", facts or Facts(df)
+    cube = facts.cube(name)
     if cube.empty():
-        return frames.note(df.sparkSession, name, NO_ROWS)
+        return frames.note(facts.spark, name, NO_ROWS)
     totals = cube.totals(["sessions", "carts", "purchases", "abandoned", "conversion", "abandon_rate"])
     return frames.assemble([
         frames.rows(totals, name, frames.tiles(1, [
@@ -298,12 +409,11 @@ def conversion(df: DataFrame) -> DataFrame:
     ])
 
 
-def categories(df: DataFrame) -> DataFrame:
-    name = "categories"
-    cube = Cube(df, ["category", "price_band", "payment"],
-                ["revenue", "purchases", "avg_price", "avg_discount"])
+def categories(df: DataFrame, facts: Facts | None = None) -> DataFrame:
+    name, facts = "categories", facts or Facts(df)
+    cube = facts.cube(name)
     if cube.empty():
-        return frames.note(df.sparkSession, name, NO_ROWS)
+        return frames.note(facts.spark, name, NO_ROWS)
     totals = cube.totals(["revenue", "conversion", "aov", "avg_price", "avg_discount"]).withColumn(
         "categories", cube.rows.agg(F.count_distinct("category")).scalar())
     return frames.assemble([
@@ -323,6 +433,7 @@ def categories(df: DataFrame) -> DataFrame:
                         ("conversion", "conversion", "pct2"), ("aov", "aov", "inr")])),
         frames.rows(cube.by_size("payment", ["purchases"], "purchases"), name,
                     frames.chart(4, "payment_mix", [("purchases", "purchases", "count")])),
+        product_note(facts, name, 5),
         leading_categories(cube, name, 6), price_window(cube, name, 6),
     ])
 
@@ -331,6 +442,12 @@ PAGES = {"overview": overview, "customers": customers, "conversion": conversion,
          "categories": categories}
 
 
+def every_page(df: DataFrame) -> DataFrame:
+    """All pages, from two passes over the sessions."""
+    facts = SharedFacts(df)
+    return reduce(DataFrame.unionByName, [page(df, facts) for page in PAGES.values()])
+
+
 def findings(df: DataFrame) -> DataFrame:
     """Every computed finding, from two cubes and the segments.
 
@@ -338,8 +455,8 @@ def findings(df: DataFrame) -> DataFrame:
     session.
     """
     name = "findings"
-    cube = Cube(df, ["category", "user_type", "duration", "discount_bucket", "price_band"],
-                ["revenue", "purchases", "carts", "abandoned", "discount_correlation"])
+    cube = Cube.over(df, ["category", "user_type", "duration", "discount_bucket", "price_band"],
+                     ["revenue", "purchases", "carts", "abandoned", "discount_correlation"])
     if cube.empty():
         return frames.note(df.sparkSession, name, NO_ROWS)
     people = People(df)
@@ -347,5 +464,5 @@ def findings(df: DataFrame) -> DataFrame:
         frames.rows(people.headline(), name, never_purchased(1), high_value(1), repeat_rate(1)),
         *[f(cube, name, 2) for f in (user_type_gap, leading_categories, duration_effect,
                                      discount_effect, price_window, funnel_leak)],
-        conversion_stability(Cube(df, [], ["conversion"], by_time=True).trend(["conversion"]), name, 2),
+        conversion_stability(Cube.over(df, [], ["conversion"], by_time=True).trend(["conversion"]), name, 2),
     ])

@@ -26,7 +26,7 @@ HEADLINE = [
     "totals", "group_category", "group_date", "group_product", "options_loc", "slice_combo",
     "slice_batch", "seg_semi_high", "seg_anti_window", "group_category_seg", "trend_seg", "segments", "segment_assign", "freq_hist",
     "funnel", "trend_month", "trend_auto", "top_products", "dq_facts", "export_json",
-    "page_overview", "page_overview_seg", "page_customers", "page_conversion", "page_categories", "findings",
+    "page_overview", "page_overview_seg", "page_customers", "page_conversion", "page_categories", "pages_all", "findings",
 ]
 FROM_RAW = ["totals", "group_category", "segments", "trend_month", "seg_semi_high",
             "ingest_clean", "dq_findings", "dq_columns"]

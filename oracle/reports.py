@@ -24,8 +24,8 @@ def chart(page, section, item, source, series, kind="chart"):
             for name, col, how in series]
 
 
-def finding(page, section, item, source, cells):
-    return [rows(page, section, "finding", item, i, name, "NULL", label or "CAST(NULL AS VARCHAR)", col, how, source)
+def finding(page, section, item, source, cells, kind="finding"):
+    return [rows(page, section, kind, item, i, name, "NULL", label or "CAST(NULL AS VARCHAR)", col, how, source)
             for i, (name, label, col, how) in enumerate(cells, 1)]
 
 
@@ -92,6 +92,8 @@ win AS (SELECT COALESCE({pct('SUM(CASE WHEN unit_cents>50000 AND unit_cents<=150
 leak AS (SELECT {pct('sessions-carts', 'sessions')} AS before, {pct('carts-purchases', 'carts')} AS after,
   GREATEST(sessions-carts, carts-purchases) AS most,
   CASE WHEN sessions-carts>=carts-purchases THEN 'before the cart' ELSE 'after the cart' END AS worst FROM t),
+sku AS (SELECT {big('COUNT(*)')} AS products, {big('COUNT(*) FILTER (WHERE kinds > 1)')} AS split FROM
+  (SELECT COUNT(DISTINCT product_category) AS kinds FROM sl WHERE product_id IS NOT NULL GROUP BY product_id)),
 stab AS (SELECT MIN(conversion) AS low, MAX(conversion) AS high, stddev_samp(conversion) AS deviation FROM tr)
 """)
 
@@ -198,6 +200,9 @@ def categories():
         *chart(p, 5, "category_table", "cat", [
             ("revenue", "revenue", "inr"), ("conversion", "conversion", "pct2"), ("aov", "aov", "rupee"),
             ("avg_price", "avg_price", "rupee"), ("sessions", "sessions", "count")], "table"),
+        *finding(p, 5, "product_ids", f"(SELECT *, {pct('split', 'products')} AS share FROM sku)", [
+            ("in_several_categories", None, "split", "count"), ("of_products", None, "products", "count"),
+            ("share", None, "share", "pct2")], "note"),
         *found(p, 6, "leading_categories", "price_window")]
 
 
@@ -208,11 +213,13 @@ def _union(parts, **kw):
 EMPTY = ("CAST(1 AS INT) AS section_ord, 'note' AS kind, 'empty' AS item, CAST(1 AS INT) AS ord, "
          "CAST(NULL AS VARCHAR) AS series, CAST(NULL AS VARCHAR) AS key, 'No rows match these filters' AS label, "
          "CAST(NULL AS DOUBLE) AS value, 'No rows match these filters' AS display")
+WEEKS = dict(grain="week", where="product_category=2 AND visit_date>=DATE '1997-03-01' AND visit_date<=DATE '1997-09-30'")
+EVERY = [*overview(), *customers(), *conversion(), *categories()]
 REPORTS = {
+    "pages_all": _union(EVERY), "pages_all_sliced": _union(EVERY, **WEEKS),
     "page_overview": _union(overview()), "page_customers": _union(customers()),
     "page_conversion": _union(conversion()), "page_categories": _union(categories()),
-    "page_overview_sliced": _union(overview(), grain="week", where=(
-        "product_category=2 AND visit_date>=DATE '1997-03-01' AND visit_date<=DATE '1997-09-30'")),
+    "page_overview_sliced": _union(overview(), **WEEKS),
     "page_overview_seg": _union(overview(), where=HIGH),
     "page_empty": SESSIONS + f"SELECT 'overview' AS page, {EMPTY} WHERE (SELECT COUNT(*) FROM sessions WHERE product_category=99)=0",
     "findings": _union([*found("findings", 1, "never_purchased", "high_value", "repeat_rate"),
