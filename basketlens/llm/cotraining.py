@@ -42,6 +42,7 @@ MAX_LABELLED = 4000
 TEXT_BITS = 12  # size of the hashed text features
 META_BITS = 8  # size of the hashed source and language features
 ROUNDS = 4
+FIT_COLUMNS = 256  # whose deviations are taken at a time
 SHARE = 0.05  # of the unlabelled documents that a view labels, more in each round
 BINS, SPAN = 4096, 32.0  # bins of log-odds between -SPAN and SPAN
 GROUPS = 16  # mean vectors of a teacher and label
@@ -112,8 +113,12 @@ class Logistic:
         self.penalty, self.steps, self.rate = penalty, steps, rate
 
     def fit(self, x: np.ndarray, y: np.ndarray, trust: np.ndarray | None = None) -> Logistic:
-        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0.02)
-        z = (x - self.mean).astype(np.float32)
+        """``x`` of 32-bit floats is overwritten: it is most of what the driver holds."""
+        parts = max(1, x.shape[1] // FIT_COLUMNS)
+        self.mean, self.scale = x.mean(axis=0), np.maximum(np.concatenate([p.std(axis=0) for p in np.array_split(x, parts, axis=1)]), 0.02)
+        z = x if x.dtype == np.float32 else (x - self.mean).astype(np.float32)
+        if z is x:
+            z -= self.mean
         z /= self.scale
         np.clip(z, -5, 5, out=z)
         weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * (1 if trust is None else trust)
@@ -134,7 +139,9 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -5, 5) @ self.w + self.b
+        z = x - self.mean
+        z /= self.scale
+        return np.clip(z, -5, 5, out=z) @ self.w + self.b
 
 
 def skill(odds: np.ndarray, y: np.ndarray) -> float:
@@ -248,8 +255,11 @@ def cotrain(views: list[np.ndarray], y: np.ndarray, pool, held: np.ndarray, roun
             n = np.array([given[k][0] for k in keys], dtype=np.float64)
             ys = np.array([label for label, _ in keys], dtype=np.float64)
             trust = np.array([TRUST * (own == label).sum() * given[label, g][0] / n[ys == label].sum() for label, g in keys])
-            means = np.array([given[k][1] for k in keys], dtype=np.float32).reshape(len(keys), x.shape[1])
-            models.append(Logistic().fit(np.concatenate([x[~held], means]), np.concatenate([own, ys]), np.concatenate([np.ones(len(own)), trust])))
+            rows = np.empty((len(own) + len(keys), x.shape[1]), dtype=np.float32)
+            np.compress(~held, x, axis=0, out=rows[:len(own)])
+            rows[len(own):] = np.array([given[k][1] for k in keys]).reshape(len(keys), x.shape[1])
+            models.append(Logistic().fit(rows, np.concatenate([own, ys]), np.concatenate([np.ones(len(own)), trust])))
+            del rows
         if turn == rounds or not pool.size:
             break
         able = [skill(m.odds(x[held]), y[held]) >= min_skill for m, x in zip(models, views)]
@@ -327,6 +337,23 @@ def featured(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label:
     return stored(rows.select(F.xxhash64("_id").alias("id_hash"), F.coalesce("y", F.lit(-1)).alias("y"), "row").mapInArrow(tidied(_features), SPARSE), "features")
 
 
+def ordered(told: pa.Table) -> tuple[np.ndarray, list[np.ndarray]] | None:
+    """Labels and features by view of the labelled documents, sorted, or None unless the labels are of both kinds. Dense
+    rows are made a few at a time, first to sort by, then each at its place, so that the driver holds them once."""
+    sums = [(y, views[0].sum(axis=1), views[1].sum(axis=1)) for y, views, _ in dense_batches(iter(told.combine_chunks().to_batches()))]
+    y, first, second = (np.concatenate(c) for c in zip(*sums)) if sums else [np.zeros(0)] * 3
+    if not (y == 0).any() or not (y == 1).any():
+        return None
+    y = y.astype(np.float64)
+    order = np.lexsort((first, second, y))
+    views, at = [np.empty((len(y), n), dtype=np.float32) for n in SIZES], 0
+    for part, both, _ in dense_batches(iter(told.take(pa.array(order)).combine_chunks().to_batches())):
+        for view, rows in zip(views, both):
+            view[at:at + len(part)] = rows
+        at += len(part)
+    return y[order], views
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", meta: tuple[str, ...] = ("source", "lang"),
           max_labelled: int = MAX_LABELLED) -> dict | None:
     """The fitted model, or None where the labels are not of both kinds."""
@@ -336,16 +363,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return None
     # One row an id, however often it repeats; sorted by content, as the order of delivery must not matter.
     one = rows.filter("y >= 0").groupBy("id_hash").agg(F.min(F.struct("y", "grp", "a_at", "a", "b_at", "b")).alias("r")).select("r.*")
-    told = one.toArrow().combine_chunks().to_batches()
-    parts = list(dense_batches(iter(told)))
-    y = np.concatenate([p[0] for p in parts]).astype(np.float64) if parts else np.zeros(0)
-    if not (y == 0).any() or not (y == 1).any():
+    found = ordered(one.toArrow())
+    if found is None:
         return None
-    views = [np.concatenate([p[1][v] for p in parts]) for v in (0, 1)]
-    del told, parts
-    order = np.lexsort((views[0].sum(axis=1), views[1].sum(axis=1), y))
-    y, views = y[order], [v[order] for v in views]
-    return cotrain(views, y, Pool(rows.filter("y < 0")), np.arange(len(y)) % 3 == 0)
+    y, views = found
+    model = cotrain(views, y, Pool(rows.filter("y < 0")), np.arange(len(y)) % 3 == 0)
+    del found, views
+    tidy()
+    return model
 
 
 def combine(model: dict, a: np.ndarray, b: np.ndarray) -> list[tuple[float, float, float]]:
