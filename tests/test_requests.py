@@ -72,3 +72,15 @@ def test_set_bits(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", S.set_bits(F.col("v")).alias("bits"))
     assert {r.v: r.bits for r in rows.collect()} == values
     assert "array(0, 1)" not in rows._jdf.queryExecution().optimizedPlan().toString()  # the table is one literal
+
+
+def test_busy_keys_small_blocks_and_large_sums_change_nothing(spark, sessions, monkeypatch):
+    """Keys dealt over tasks, groups that go on in the next batch, and sums whose upper 32 bits count."""
+    wide = sessions.withColumn("revenue_cents", F.expr("IF(session_id % 2 = 0, -1, 1) * 4000000000123L * (session_id % 7)")).withColumn(
+        "customer_id", F.expr("CASE WHEN session_id % 3 = 0 THEN 1L WHEN session_id % 11 = 0 THEN NULL ELSE customer_id END")).checkpoint()
+    asked = {name: BATCH[name] for name in ["slice_cat", "slice_purch", "slice_month", "slice_combo", "slice_empty"]}
+    expected = by_id(S.slice_totals(wide, asked, GROUP_METRICS))
+    for name, value in (("HOT_ROWS", 3), ("UNION_ROWS", 7), ("BLOCK_ROWS", 5)):
+        monkeypatch.setattr(R, name, value)
+    got = R.table_totals(wide, frame(spark, asked), GROUP_METRICS)
+    assert by_id(got) == expected
